@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import media
+from foliant.llm import media, token_files
 from foliant.llm.common import table
 
 
@@ -15,8 +15,14 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_text(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns,)}
+    return {f.__name__: f for f in (op2_media_columns, op6_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
