@@ -7,23 +7,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import media, token_files
-from foliant.llm.common import table
+from foliant.llm import language_id, media, token_files, token_rollup
+from foliant.llm.common import scratch, table, written
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_text(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.classify(docs.select("doc_id", "text"), language_id.learned_from(docs))
+    return out.select(out.doc_id.cast("long").alias("doc_id"), language_id.held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_files.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = written(token_rollup.counted(table(spark, sf_dir, "documents")), "counts")
+    return token_rollup.replayed(counts, token_rollup.Rollup(spark, scratch(spark, "rollup")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op6_token_files)}
+    return {f.__name__: f for f in (op2_media_columns, op5_language_id, op6_token_files, op10_token_rollup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_token_rollup": token_rollup.ROLLUP_SQL}
