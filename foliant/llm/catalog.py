@@ -6,11 +6,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import language_id, media, token_files, token_rollup
+from foliant.llm import language_id, media, mixture, token_files, token_rollup
 from foliant.llm.common import scratch, table, written
 
 
+#: The target mixture of op1: domains, languages within them, sources within those.
+MIX_WEIGHTS = {("web",): 2.0, ("books",): 2.0, ("code",): 1.0, ("web", "en"): 3.0, ("web", "de"): 2.0, ("books", "fr"): 2.0, ("web", "en", "src0"): 1.5}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """``docs`` with the domain of its source: src0, src3, ... web, then books, then code."""
+    no = F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 3
+    return docs.withColumn("domain", F.when(no == 0, "web").when(no == 1, "books").otherwise("code"))
+
+
+def op1_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    slim = written(docs.select("doc_id", "domain", "lang", "source", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"), F.xxhash64(text).alias("digest")), "mixture")
+    return mixture.select(slim, ("domain", "lang", "source"), "n_tokens", 0.9, MIX_WEIGHTS, seed=17, max_epochs=2, ids=("doc_id", "digest"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_text(table(spark, sf_dir, "documents"))
 
@@ -33,7 +51,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op5_language_id, op6_token_files, op10_token_rollup)}
+    return {f.__name__: f for f in (op1_source_mixture, op2_media_columns, op5_language_id, op6_token_files, op10_token_rollup)}
 
 
 def oracle_sql() -> dict[str, str]:
