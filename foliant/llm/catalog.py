@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import language_id, media, mixture, quality, token_files, token_rollup
+from foliant.llm import jaccard_join, language_id, media, mixture, quality, token_files, token_rollup
 from foliant.llm.common import scratch, table, written
 
 
@@ -49,13 +49,17 @@ def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"))[0]
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.clustered(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = written(token_rollup.counted(table(spark, sf_dir, "documents")), "counts")
     return token_rollup.replayed(counts, token_rollup.Rollup(spark, scratch(spark, "rollup")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixture, op2_media_columns, op5_language_id, op6_token_files, op7_weak_quality, op10_token_rollup)}
+    return {f.__name__: f for f in (op1_source_mixture, op2_media_columns, op5_language_id, op6_token_files, op7_weak_quality, op9_jaccard_join, op10_token_rollup)}
 
 
 def oracle_sql() -> dict[str, str]:
