@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import jaccard_join, language_id, media, mixture, quality, rp_forest, token_files, token_rollup
+from foliant.llm import jaccard_join, language_id, media, mixture, quality, repeats, rp_forest, token_files, token_rollup
 from foliant.llm.common import scratch, table, written
 
 
@@ -37,6 +37,10 @@ def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.linked(table(spark, sf_dir, "embeddings"))
 
 
+def op4_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.classify(docs.select("doc_id", "text"), language_id.learned_from(docs))
@@ -63,7 +67,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixture, op2_media_columns, op3_embedding_links, op5_language_id, op6_token_files, op7_weak_quality, op9_jaccard_join, op10_token_rollup)}
+    return {f.__name__: f for f in (op1_source_mixture, op2_media_columns, op3_embedding_links, op4_long_repeats, op5_language_id, op6_token_files, op7_weak_quality, op9_jaccard_join, op10_token_rollup)}
 
 
 def oracle_sql() -> dict[str, str]:
