@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import jaccard_join, language_id, media, mixture, quality, repeats, rp_forest, token_files, token_rollup
+from foliant.llm import jaccard_join, language_id, media, mixture, pieces, quality, repeats, rp_forest, token_files, token_rollup
 from foliant.llm.common import scratch, table, written
 
 
@@ -57,6 +57,12 @@ def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"))[0]
 
 
+def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.clustered(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -67,7 +73,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixture, op2_media_columns, op3_embedding_links, op4_long_repeats, op5_language_id, op6_token_files, op7_weak_quality, op9_jaccard_join, op10_token_rollup)}
+    return {f.__name__: f for f in (op1_source_mixture, op2_media_columns, op3_embedding_links, op4_long_repeats, op5_language_id, op6_token_files, op7_weak_quality, op8_piece_lattice, op9_jaccard_join, op10_token_rollup)}
 
 
 def oracle_sql() -> dict[str, str]:
