@@ -26,36 +26,100 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GOOD, BAD, NONE = 1, 0, -1
-WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = r"[ \t\r\n\x0b\x0c]+"
 #: Frequent short words of the languages at hand.
-FUNCTION_WORDS = "the|of|and|to|in|is|that|de|la|le|et|en|que|el|los|der|die|und|das|ein"
+FUNCTION_WORDS = frozenset("the of and to in is that de la le et en que el los der die und das ein".split())
+LABELLERS = ("signs", "doubled_signs", "capitals", "repeats", "function_words", "sentence_ends", "word_length", "digits")
 DIMS = 1 << 15
+SLICE_ROWS = 1000
 
 
-def labellers(text: Column) -> dict[str, Column]:
-    """Votes of each heuristic: good, bad or none."""
-    n = F.regexp_count(text, F.lit(WORD))
-    words = F.greatest(n, F.lit(1))
-    size = F.greatest(F.length(text), F.lit(1))
-    share = lambda pattern, of: F.regexp_count(text, F.lit(pattern)) / of
-    vote = lambda bad, good: F.when(bad, BAD).when(good, GOOD).otherwise(NONE)
-    never = F.lit(False)
-    repeats, ends = share(r"(?<=^|\s)(\S++)(?=\s+\1(\s|$))", words), share(r"[.!?](\s|$)", words)
-    length = (size - n) / words
-    return {
-        "signs": vote(share(r"[^\p{L}\p{N}\s.,;:!?'\"()-]", size) > 0.02, never),
-        "doubled_signs": vote(share(r"[^\p{L}\p{N}\s.]{2,}", words) > 0.1, never),
-        "capitals": vote(share(r"\p{Lu}", size) > 0.3, never),
-        "repeats": vote(repeats > 0.1, repeats < 0.02),
-        "function_words": vote(share(rf"(?i)\b({FUNCTION_WORDS})\b", words) < F.when(n >= 20, 0.03).otherwise(0.0), share(rf"(?i)\b({FUNCTION_WORDS})\b", words) > 0.08),
-        "sentence_ends": vote(ends < 0.01, ends.between(0.03, 0.3)),
-        "word_length": vote((length > 15) | (length < 2), never),
-        "digits": vote(share(r"\p{N}", size) > 0.15, never),
+def _kinds() -> np.ndarray:
+    """Bits of each byte: sign, mark, capital, digit, end of sentence, blank."""
+    out = np.zeros(256, np.uint8)
+    for c in range(33, 127):
+        ch = chr(c)
+        if not ch.isalnum():
+            out[c] |= 2 if ch == "." or ch in "'\"()-" else 3 if ch not in ",;:!?" else 2
+        out[c] |= 4 * ch.isupper() | 8 * ch.isdigit() | 16 * (ch in ".!?")
+    out[ord(".")] &= ~np.uint8(2)
+    out[[9, 10, 11, 12, 13, 32]] = 32
+    return out
+
+
+KINDS = _kinds()
+
+
+@dataclass
+class Words:
+    """The words of a run of texts as numbers of distinct ones."""
+
+    distinct: list[str]
+    code: np.ndarray
+    row: np.ndarray
+    n: np.ndarray
+    again: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        words = pc.split_pattern_regex(pc.fill_null(texts, ""), BLANKS)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+        full = np.array([w != "" for w in distinct], bool)[code] if distinct else np.zeros(0, bool)
+        code, row = code[full], row[full]
+        n = np.bincount(row, minlength=len(texts))
+        same = np.zeros(len(code), bool)
+        same[1:] = (code[1:] == code[:-1]) & (row[1:] == row[:-1])
+        return cls(distinct, code, row, n, np.bincount(row, same, len(texts)) / np.maximum(n, 1))
+
+
+def votes_of(texts: pa.Array, w: Words) -> np.ndarray:
+    """A row of votes for each text, a column for each labeller."""
+    filled = pc.fill_null(texts, "")
+    size = pc.binary_length(filled).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    kind = KINDS[np.frombuffer("".join(filled.to_pylist()).encode(), np.uint8)]
+    after = np.append(kind[1:], np.uint8(32))
+    after[ends[1:][size > 0] - 1] = 32
+    before = np.concatenate([[np.uint8(32)], kind[:-1]])
+    before[ends[:-1][size > 0]] = 32
+
+    def share(hit: np.ndarray, of: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
+        return (upto[ends[1:]] - upto[ends[:-1]]) / np.maximum(of, 1)
+
+    mark = (kind & 2) > 0
+    function = np.array([x.strip(".,;:!?$%*#&|").lower() in FUNCTION_WORDS for x in w.distinct], bool)[w.code] if w.distinct else np.zeros(0, bool)
+    function = np.bincount(w.row, function, len(texts)) / np.maximum(w.n, 1)
+    stops = share(((kind & 16) > 0) & ((after & 32) > 0), w.n)
+    length = share((kind & 32) == 0, w.n)
+    vote = lambda bad, good=False: np.where(bad, BAD, np.where(good, GOOD, NONE))
+    columns = {
+        "signs": vote(share((kind & 1) > 0, size) > 0.02),
+        "doubled_signs": vote(share(mark & ((after & 2) > 0) & ((before & 2) == 0), w.n) > 0.1),
+        "capitals": vote(share((kind & 4) > 0, size) > 0.3),
+        "repeats": vote(w.again > 0.1, w.again < 0.02),
+        "function_words": vote((w.n >= 20) & (function < 0.03), function > 0.08),
+        "sentence_ends": vote(stops < 0.01, (stops >= 0.03) & (stops <= 0.3)),
+        "word_length": vote((length > 15) | (length < 2)),
+        "digits": vote(share((kind & 8) > 0, size) > 0.15),
     }
+    return np.stack([np.broadcast_to(columns[c], len(texts)) for c in LABELLERS], 1)
+
+
+def pattern_of(votes: np.ndarray) -> np.ndarray:
+    """Votes as one number."""
+    return ((votes + 1) * 3 ** np.arange(votes.shape[1])).sum(1)
+
+
+def votes_in(patterns: np.ndarray) -> np.ndarray:
+    return np.asarray(patterns, np.int64).reshape(-1, 1) // 3 ** np.arange(len(LABELLERS)) % 3 - 1
 
 
 @dataclass
@@ -123,22 +187,13 @@ class Features:
             got = self.kept[word] = hashed("w " + word.lower()), hashed("s " + _shape(word))
         return got
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[ \t\r\n\x0b\x0c]+")
-        coded = words.flatten().dictionary_encode()
-        both = np.array([self._of(w) for w in coded.dictionary.to_pylist()], np.int64).reshape(-1, 2)
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        offsets = words.offsets.to_numpy()
-        n = np.diff(offsets)
-        row = np.repeat(np.arange(len(texts)), n)
-        value = 10.0 / np.maximum(n, 1)[row]
-        same = np.zeros(len(code), bool)
-        same[1:] = (code[1:] == code[:-1]) & (row[1:] == row[:-1])
-        again = np.bincount(row, same, len(texts)) / np.maximum(n, 1)
-        whole = np.array([hashed(f"r {int(x)}") for x in np.minimum(again * 10, 5)], np.int64)
-        size = np.array([hashed(f"n {int(x)}") for x in np.minimum(np.log2(n + 1), 12)], np.int64)
-        every = np.arange(len(texts))
-        return np.concatenate([row, row, every, every]), np.concatenate([both[code, 0], both[code, 1], whole, size]), np.concatenate([value, value, np.full(len(texts), 4.0), np.ones(len(texts))])
+    def __call__(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        both = np.array([self._of(x) for x in w.distinct], np.int64).reshape(-1, 2)
+        every = np.arange(len(w.n))
+        value = 10.0 / np.maximum(w.n, 1)[w.row]
+        whole = np.array([hashed(f"r {int(x)}") for x in np.minimum(w.again * 10, 5)], np.int64)
+        size = np.array([hashed(f"n {int(x)}") for x in np.minimum(np.log2(w.n + 1), 12)], np.int64)
+        return np.concatenate([w.row, w.row, every, every]), np.concatenate([both[w.code, 0], both[w.code, 1], whole, size]), np.concatenate([value, value, np.full(len(every), 4.0), np.ones(len(every))])
 
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
@@ -146,7 +201,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float =
     w = np.zeros(DIMS + 1)
     if not texts:
         return w
-    row, dim, val = Features()(pa.array(texts))
+    row, dim, val = Features()(Words.of(pa.array(texts)))
     key, place = np.unique(row * DIMS + dim, return_inverse=True)
     val, row, dim = np.bincount(place, val), key // DIMS, key % DIMS
     seen = np.full(DIMS + 1, 1e-8)
@@ -162,29 +217,42 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float =
 def scored(docs: DataFrame, keep_at: float = 0.5, sample_rows: int = 6000, sample_bytes: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, WeakModel]:
     """(id, weak posterior, score, keep) of every document, and the label model."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rules = labellers(text)
-    names = list(rules)
-    pattern = F.concat_ws(",", *(v.cast("string") for v in rules.values()))
-    voted = docs.select(F.col(id_col), text.alias("_text"), pattern.alias("_votes"))
-    read = lambda s: np.array([int(x) for x in s.split(",")])
-    found = sorted((r["_votes"], r["n"]) for r in voted.groupBy("_votes").agg(F.count("*").alias("n")).collect())
-    votes = np.array([read(s) for s, _ in found]).reshape(-1, len(names))
-    model = expectation_maximisation(names, votes, np.array([n for _, n in found]))
-    belief = dict(zip((s for s, _ in found), model.posterior(votes).tolist(), strict=True))
-    sample = voted.filter(F.octet_length("_text").between(1, sample_bytes)).orderBy(F.xxhash64("_text"), "_text").limit(sample_rows).collect()
-    w = spark.sparkContext.broadcast(train([r["_text"] for r in sample], np.array([belief[r["_votes"]] for r in sample])))
+    text = F.col(text_col).cast("string").alias("_text")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [pattern_of(votes_of(t, Words.of(t))) for t in _sliced(b.column(0))]
+            p, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), pa.array(n.astype(np.int64))], names=["votes", "n"])
+
+    found = sorted(tuple(r) for r in docs.select(text).mapInArrow(counted, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect())
+    patterns, counts = np.array(found, np.int64).reshape(-1, 2).T
+    model = expectation_maximisation(list(LABELLERS), votes_in(patterns), counts)
+    belief = dict(zip(patterns.tolist(), model.posterior(votes_in(patterns)).tolist(), strict=True))
+    # A range of the hash that holds about twice the sample, so that no task sends more.
+    share = min(1.0, 2 * sample_rows / max(1, int(counts.sum())))
+    order = F.xxhash64("_text")
+    some = docs.select(text).filter(F.octet_length("_text").between(1, sample_bytes) & (F.shiftrightunsigned(order, 32) < int(share * (1 << 32))))
+    sample = pa.array([r["_text"] for r in some.orderBy(order, "_text").limit(sample_rows).collect()], pa.string())
+    labels = np.array([belief[p] for t in _sliced(sample) for p in pattern_of(votes_of(t, Words.of(t))).tolist()])
+    w = spark.sparkContext.broadcast(train(sample.to_pylist(), labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, weights = Features(), w.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                row, dim, val = f(b.column(1))
-                s = np.bincount(row, weights[dim] * val, b.num_rows) + weights[-1]
-                p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
-                weak = [belief.get(v, model.prior) for v in b.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weak, pa.float64()), pa.array(p), pa.array(p >= keep_at)], names=[id_col, "weak_posterior", "score", "keep"])
+        for b in batches:
+            at = 0
+            for t in _sliced(b.column(1)):
+                words = Words.of(t)
+                row, dim, val = f(words)
+                p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[dim] * val, len(t)) + weights[-1], -40, 40)))
+                weak = [belief.get(v, model.prior) for v in pattern_of(votes_of(t, words)).tolist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(t)), pa.array(weak, pa.float64()), pa.array(p), pa.array(p >= keep_at)], names=[id_col, "weak_posterior", "score", "keep"])
+                at += len(t)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return voted.mapInArrow(run, f"{id_col} {kind}, weak_posterior double, score double, keep boolean"), model
+    return docs.select(id_col, text).mapInArrow(run, f"{id_col} {kind}, weak_posterior double, score double, keep boolean"), model
+
+
+def _sliced(texts: pa.Array) -> Iterator[pa.Array]:
+    for at in range(0, len(texts), SLICE_ROWS):
+        yield texts.slice(at, SLICE_ROWS)
