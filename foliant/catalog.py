@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.plans import documents, evaluation, geometry, operations, store, text
+from foliant.registry import ORACLES, QUERIES, Query
+
+MODULES = (text, documents, store, operations, evaluation, geometry)
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to blocks, tokens, greedy chunks and statistics by engine."""
+    return QUERIES["ag05_chunks_by_engine"](spark, sf_dir)

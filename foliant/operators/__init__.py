@@ -1 +1 @@
-
+"""Operators over DataFrames of blocks, chunks, assets, boxes and events."""
