@@ -1 +1,90 @@
-"""."""
+"""Queries of the evaluation metrics and gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from foliant.operators import evaluation as e
+from foliant.operators import store as s
+from foliant.plans.documents import BLOCKS_SQL, doc_blocks
+from foliant.registry import query, read
+
+SCORES_SQL = "coalesce(sum(least(coalesce(a,0), coalesce(b,0))), 0)::BIGINT AS hit, coalesce(sum(a),0)::BIGINT AS seen, coalesce(sum(b),0)::BIGINT AS true"
+
+
+@query("ag19_item_scores", f"""WITH a AS (SELECT l_orderkey AS k, l_returnflag AS x, count(*) AS a FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL), b AS (SELECT l_orderkey AS k, l_returnflag AS x, count(*) AS b FROM lineitem GROUP BY ALL),
+n AS (SELECT k, {SCORES_SQL} FROM a FULL JOIN b USING (k, x) GROUP BY k), p AS (SELECT *, CASE WHEN seen > 0 THEN hit / seen ELSE 0.0 END AS p, CASE WHEN "true" > 0 THEN hit / "true" ELSE 0.0 END AS r FROM n)
+SELECT k AS l_orderkey, hit, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 9) AS f1 FROM p""")
+def ag19(spark, d):
+    true = read(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus")
+    out = e.multiset_scores(true.filter("l_linestatus = 'O'"), true, "l_orderkey", "l_returnflag")
+    return out.select("l_orderkey", "hit", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query("ag20_cell_scores", f"""WITH {BLOCKS_SQL}, c AS (SELECT doc_id, pos, trim(unnest(string_split(text, '|'))) AS x FROM b WHERE block_type = 'table'),
+a AS (SELECT doc_id AS k, x, 1 AS a FROM c GROUP BY ALL), b2 AS (SELECT doc_id AS k, x, count(*) AS b FROM c GROUP BY ALL)
+SELECT k AS doc_id, {SCORES_SQL} FROM a FULL JOIN b2 USING (k, x) GROUP BY k""")
+def ag20(spark, d):
+    cells = doc_blocks(spark, d).filter("block_type = 'table'").select("doc_id", "pos", F.explode(F.transform(F.split("text", r"\|"), lambda x: F.trim(x))).alias("x"))
+    return e.multiset_scores(cells.select("doc_id", "x").distinct(), cells, "doc_id", "x").select("doc_id", "hit", "seen", "true")
+
+
+@query("ag21_metric_means", "SELECT count(*) AS samples, round(avg(quality), 9) AS mean_quality, count(quality) AS n_quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def ag21(spark, d):
+    rows = read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels"), "doc_id", "left")
+    return e.summary(rows, ["quality"]).withColumn("mean_quality", F.round("mean_quality", 9))
+
+
+@query("st09_word_error_rate")
+def st09(spark, d):
+    turns = read(spark, d, "conversations").withColumn("before", F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")))
+    return turns.select("conv_id", "turn", e.word_error_rate("text", "before").alias("wer"))
+
+
+@query("jn18_paired_by_place", "SELECT a.p_partkey, b.s_suppkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS no FROM part) a JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS no FROM supplier) b USING (no)")
+def jn18(spark, d):
+    part, supplier = read(spark, d, "part").select("p_partkey", "p_retailprice"), read(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    return s.one_to_one(part, supplier, ["p_retailprice", "p_partkey"], ["s_acctbal", "s_suppkey"]).select("p_partkey", "s_suppkey")
+
+
+@query("jn19_covered_texts", f"""WITH {BLOCKS_SQL} SELECT DISTINCT a.doc_id, a.pos::BIGINT AS pos FROM b a JOIN b z ON z.doc_id = a.doc_id AND z.pos <> a.pos AND z.block_type = 'text' AND contains(z.text, a.text) WHERE a.block_type = 'text' AND length(a.text) < 60 AND length(z.text) >= 60""")
+def jn19(spark, d):
+    blocks = doc_blocks(spark, d).filter("block_type = 'text'").select("doc_id", F.col("pos").cast("long").alias("pos"), "text")
+    return e.covered(blocks.filter(F.length("text") < 60), blocks.filter(F.length("text") >= 60), "doc_id", "text").select("doc_id", "pos")
+
+
+@query("jn25_paired_reports", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NOT NULL AS in_documents, l.doc_id IS NOT NULL AS in_labels FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id")
+def jn25(spark, d):
+    a = read(spark, d, "documents").select("doc_id", F.lit(True).alias("a"))
+    b = read(spark, d, "labels").select("doc_id", F.lit(True).alias("b"))
+    return a.join(b, "doc_id", "full").select("doc_id", F.coalesce("a", F.lit(False)).alias("in_documents"), F.coalesce("b", F.lit(False)).alias("in_labels"))
+
+
+@query("ev01_dataset_problems", """SELECT doc_id, problem FROM (SELECT d.doc_id, unnest(list_filter([CASE WHEN coalesce(trim(text),'')='' THEN 'empty' END, CASE WHEN l.doc_id IS NULL THEN 'no_truth' END, CASE WHEN n_chars > 20000 THEN 'too_long' END], lambda x: x IS NOT NULL)) AS problem FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""")
+def ev01(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", (F.coalesce(F.trim("text"), F.lit("")) == "").alias("empty"), "n_chars")
+    rows = docs.join(read(spark, d, "labels").select("doc_id", F.lit(True).alias("known")), "doc_id", "left")
+    return e.problems(rows, "doc_id", {"empty": F.col("empty"), "no_truth": F.col("known").isNull(), "too_long": F.col("n_chars") > 20000})
+
+
+@query("ev02_license_gate", "SELECT source, bool_and(contains(text, 'Apache License') OR NOT contains(text, 'Licensed under')) AS cleared, count(*) FILTER (WHERE contains(text, 'Licensed under')) AS n_licensed FROM documents GROUP BY source")
+def ev02(spark, d):
+    has = lambda x: F.contains("text", F.lit(x))
+    return read(spark, d, "documents").groupBy("source").agg(F.bool_and(has("Apache License") | ~has("Licensed under")).alias("cleared"), F.count_if(has("Licensed under")).alias("n_licensed"))
+
+
+@query("ev04_gates", """WITH a AS (SELECT o_orderkey AS k, o_totalprice AS price FROM orders), b AS (SELECT o_orderkey AS k, o_totalprice * 0.5 AS price FROM orders)
+SELECT 'price' AS metric, round(avg(a.price), 4) AS baseline, round(avg(b.price), 4) AS candidate, avg(b.price) <= avg(a.price) + 1e-6 AS passed FROM a JOIN b USING (k)""")
+def ev04(spark, d):
+    orders = read(spark, d, "orders")
+    base, new = orders.selectExpr("o_orderkey AS k", "o_totalprice AS price"), orders.selectExpr("o_orderkey AS k", "o_totalprice * 0.5 AS price")
+    return e.gates(base, new, "k", {"price": "less"}).select("metric", F.round("baseline", 4).alias("baseline"), F.round("candidate", 4).alias("candidate"), "passed")
+
+
+@query("bl15_quality_report", """SELECT problem, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN l_quantity <= 0 THEN 'quantity' END, CASE WHEN l_discount > 0.09 THEN 'discount' END, CASE WHEN p.p_partkey IS NULL THEN 'part' END, CASE WHEN l_tax >= 0.08 THEN 'tax' END], lambda x: x IS NOT NULL)) AS problem FROM lineitem LEFT JOIN part p ON p_partkey = l_partkey) GROUP BY problem""")
+def bl15(spark, d):
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_tax")
+    rows = lines.join(read(spark, d, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    rules = {"quantity": F.col("l_quantity") <= 0, "discount": F.col("l_discount") > 0.09, "part": F.col("p_partkey").isNull(), "tax": F.col("l_tax") >= 0.08}
+    return e.problems(rows, "l_orderkey", rules).groupBy("problem").agg(F.count("*").alias("n"))
