@@ -21,6 +21,7 @@ with a heap.
 Ids go back to their blocks, which put documents together by position.
 
 Defined results: null and empty texts have no ids and decode to the empty text;
+the space sign in a text decodes to a space, as the model can't tell them apart;
 equal texts have equal ids; null ids of documents pass through; repeated rows are
 kept; other columns are ignored.
 """
@@ -203,7 +204,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             to = np.array([zlib.crc32(u.encode()) % buckets for u in units], np.int64)
             order = np.argsort(to, kind="stable")
             cut = np.flatnonzero(np.diff(to[order], prepend=-1)).tolist()
-            for x, y in zip(cut, [*cut[1:], len(order)], strict=True):
+            for x, y in zip(cut, [*cut, len(order)][1:], strict=True):
                 own = order[x:y]
                 yield pa.RecordBatch.from_arrays([pa.array([to[own[0]]], pa.int32()), pa.array([block], pa.int64()), pa.array([own.astype("<u4").tobytes()], pa.binary()), pa.array([_joined([units[i] for i in own])], pa.binary())], names=["bucket", "block", "places", "units"])
 

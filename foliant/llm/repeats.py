@@ -228,7 +228,7 @@ def _send(docs: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
         order = np.argsort(to_b, kind="stable")
         first, to_b = first[order], to_b[order]
         cut = np.flatnonzero(np.diff(to_b, prepend=-1)).tolist()
-        for x, y in zip(cut, [*cut[1:], len(first)], strict=True):
+        for x, y in zip(cut, [*cut, len(first)][1:], strict=True):
             out["bucket"].append(int(to_b[x]))
             out["meta"].append(meta[first[x:y]].tobytes())
             out["bytes"].append(b"".join(text[first[x:y]]))
