@@ -90,7 +90,7 @@ def rows_of(texts: pa.Array, n: int = 3) -> list[np.ndarray]:
     words = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), r"[ \t\n\v\f\r]+")
     coded = words.flatten().dictionary_encode()
     names = coded.dictionary.to_pylist()
-    hashes = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in names], U) if names else np.zeros(0, U)
+    hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in names], U) if names else np.zeros(0, U)
     code = coded.indices.to_numpy(zero_copy_only=False)
     full = np.array([w != "" for w in names], bool)[code] if names else np.zeros(0, bool)
     offsets = words.offsets.to_numpy()
@@ -192,7 +192,7 @@ def _grouped(t: pa.Table) -> pa.Table:
         if len(members) < 2:
             continue
         c = int(classes_[a])
-        name = xxhash.xxh3_64_intdigest(members.tobytes(), c) - (1 << 63)
+        name = xxhash.xxh64_intdigest(members.tobytes(), c) - (1 << 63)
         if name not in seen:
             seen.add(name)
             doc.append(members)

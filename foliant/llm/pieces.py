@@ -44,10 +44,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import written
+from foliant.llm.token_files import slices
 
 SPACE = "▁"
 LONGEST = 60
 MOST_PIECES = 1_000_000
+#: Text of a block. Larger ones share more units and take more memory.
+BLOCK_BYTES = 14 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -112,6 +115,20 @@ class Model:
         return [self.bytes_[b] for b in piece.encode()] if self.bytes_ else [self.unknown]
 
 
+def late_pieces(pieces: dict[str, tuple[int, float]]) -> set[str]:
+    """Pieces that two symbols of no better score may join to. Where a unit's
+    lattice holds none, an edge can be joined only after all edges of better score
+    are done with, and one pass over the edges in order makes all merges."""
+    out = set()
+    for p, (_, score) in pieces.items():
+        for k in range(1, len(p)):
+            halves = [pieces.get(h, (0, None))[1] if len(h) > 1 else float("inf") for h in (p[:k], p[k:])]
+            if None not in halves and min(halves) <= score:
+                out.add(p)
+                break
+    return out
+
+
 def cut_of(pieces: dict) -> re.Pattern:
     """Places within a unit that no piece spans: between a letter or digit and
     one of the usual signs, as far as the pieces keep them apart."""
@@ -129,15 +146,19 @@ def units_of(text: str) -> list[str]:
     return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text)
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    at = 0
+    for t in slices(texts, BLOCK_BYTES):
+        yield at, t
+        at += len(t)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], cut: re.Pattern) -> Iterator[pa.RecordBatch]:
     """(block, docs, lengths, hashes, codes, units): a block's documents as
     sequences of numbers of its distinct units."""
     z = zstandard.ZstdCompressor(level=3)
-    for no, b in enumerate(batches):
-        if not b.num_rows:
-            continue
-        texts = pc.fill_null(b.column(1), "")
-        hashes = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in texts.to_pylist()], np.uint64)
+    for no, (ids, texts) in enumerate((b.column(0).slice(at, len(t)), pc.fill_null(t, "")) for b in batches for at, t in _parts(b.column(1))):
+        hashes = np.array([xxhash.xxh64_intdigest(x.encode()) for x in texts.to_pylist()], np.uint64)
         marked = pc.replace_substring(texts, " ", SPACE)
         odd = pc.or_(pc.match_substring(marked, SPACE * 2), pc.starts_with(marked, SPACE))
         words = pc.split_pattern(marked, SPACE)
@@ -169,7 +190,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], cut: re.Pattern) -> Iterator[pa.R
         ends = np.concatenate([[0], np.cumsum(k)])
         codes = flat[np.repeat(start[code] - ends[:-1], k) + np.arange(ends[-1])].astype("<u4")
         lengths = np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
-        docs = pc.fill_null(b.column(0).cast(pa.int64()), NULL_ID).to_numpy(zero_copy_only=False)
+        docs = pc.fill_null(ids.cast(pa.int64()), NULL_ID).to_numpy(zero_copy_only=False)
         block = (TaskContext.get().partitionId() << 24) + no
         yield pa.RecordBatch.from_arrays(
             [
@@ -212,13 +233,15 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
 def piece_table(spark: SparkSession, m: Model) -> DataFrame:
     if len(m.pieces) > MOST_PIECES:
         raise ValueError("the piece table is too large to broadcast")
-    rows = [(p, i, float(-s)) for p, (i, s) in m.pieces.items()]
-    return spark.createDataFrame(rows, "piece string, id int, cost double")
+    late = late_pieces(m.pieces) if m.bpe else set()
+    rows = [(p, i, float(-s), p in late) for p, (i, s) in m.pieces.items()]
+    return spark.createDataFrame(rows, "piece string, id int, cost double, late boolean")
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges) of distinct ``units``: edges are (cost, i, j, id, ends, inner);
-    ends and inner have a bit for each place. An edge of one character is always
+    """(unit, edges, wide, late) of distinct ``units``: edges are (cost, i, j, id,
+    ends, inner), where ends and inner have a bit for each place; wide ones have two
+    characters or more; late says whether one is a late piece. An edge of one character is always
     there, with a null id where no piece is. Partitioned by unit beforehand, the
     edges of a unit never move."""
     n = F.length("unit")
@@ -227,7 +250,8 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     joined = sub.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR j = i + 1")
     bit = lambda c: F.expr(f"shiftleft(1L, {c})")
     edge = F.struct(F.coalesce("cost", F.lit(0.0)).alias("cost"), "i", "j", "id", (bit("i") + bit("j")).alias("ends"), (bit("j") - bit("i + 1")).alias("inner"))
-    return joined.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    rows = joined.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.coalesce(F.bool_or("late"), F.lit(False)).alias("late"))
+    return rows.withColumn("wide", F.filter("edges", lambda e: e["j"] > e["i"] + 1))
 
 
 def _byte_ids(ch: Column, m: Model) -> Column:
@@ -244,14 +268,15 @@ def _byte_ids(ch: Column, m: Model) -> Column:
 def merged_fold(edges: Column, unit: Column) -> Column:
     """The boundaries left after all merges, as bits."""
     n = F.length(unit)
-    wide = F.filter(edges, lambda e: e["j"] > e["i"] + 1)
+    first = F.expr("shiftleft(1L, length(unit) + 1) - 1")
+    fits = lambda state, e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inner"])) == 1)
+    without = lambda state, inner: state.bitwiseAND(F.bitwise_not(inner))
+    once = F.aggregate("wide", first, lambda state, e: F.when(fits(state, e), without(state, e["inner"])).otherwise(state))
 
-    def step(state: Column, _: Column) -> Column:
-        fit = F.filter(wide, lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inner"])) == 1))
-        return state.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fit, 0)["inner"], F.lit(0).cast("long"))))
+    def best(state: Column, _: Column) -> Column:
+        return without(state, F.coalesce(F.get(F.filter("wide", lambda e: fits(state, e)), 0)["inner"], F.lit(0).cast("long")))
 
-    first = F.expr("shiftleft(1L, length(unit) + 1) - 1")
-    return F.when(n > 1, F.aggregate(F.sequence(F.lit(1), n - 1), first, step)).otherwise(first)
+    return F.when(n == 1, first).when(F.col("late"), F.aggregate(F.sequence(F.lit(1), n - 1), first, best)).otherwise(once)
 
 
 def viterbi_fold(edges: Column, unit: Column) -> Column:
@@ -359,7 +384,7 @@ def decoded(ids: np.ndarray, m: Model) -> bytes:
 
 
 def _digested(docs, hashes, codes, ends, size, start, pool, m: Model) -> pa.Table:
-    rows = [(d, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), xxhash.xxh3_64_intdigest(decoded(ids, m)) == h) for d, h, ids in _each(docs, hashes, codes, ends, size, start, pool)]
+    rows = [(d, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), xxhash.xxh64_intdigest(decoded(ids, m)) == h) for d, h, ids in _each(docs, hashes, codes, ends, size, start, pool)]
     d, n, crc, same = zip(*rows, strict=True)
     d = np.array(d, np.int64)
     return pa.table({"doc_id": pa.array(d, mask=d == NULL_ID), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(same, pa.bool_())})

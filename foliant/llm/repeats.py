@@ -222,7 +222,7 @@ def _send(docs: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
         meta["h"], meta["doc"], meta["dig"], meta["a"], meta["n"], meta["o"] = h, ids[at + own], dig[at + own], a - start, n, p - a
         data = buf.tobytes()
         text = np.array([data[x : x + y + WINDOW - 1] for x, y in zip(a.tolist(), n.tolist(), strict=True)], object)
-        key = np.array([xxhash.xxh3_64_intdigest(x) for x in text], U)
+        key = np.array([xxhash.xxh64_intdigest(x) for x in text], U)
         first, again = _first_of_each(key, meta)
         to_b = (meta["h"][first] % U(buckets)).astype(np.int64)
         order = np.argsort(to_b, kind="stable")
@@ -335,7 +335,7 @@ def _indexed(t: pa.Table, parts: int) -> pa.Table:
     if len(meta):
         to = np.cumsum(meta["n"].astype(np.int64) + WINDOW - 1)
         text = [data[a:z] for a, z in zip([0, *to[:-1].tolist()], to.tolist(), strict=True)]
-        key = np.array([xxhash.xxh3_64_intdigest(x) for x in text], U)
+        key = np.array([xxhash.xxh64_intdigest(x) for x in text], U)
         first, again = _first_of_each(key, meta)
         marks.append(_marks(meta[again]))
         place = meta["a"][first].astype(np.int64) + meta["o"][first]
@@ -367,7 +367,7 @@ def _packed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
             {
                 "part": pa.array((_mixed(docs) % U(parts)).astype(np.int32)),
                 "doc": pa.array(docs),
-                "dig": pa.array(np.array([xxhash.xxh3_64_intdigest(v) for v in values], U).view(np.int64)),
+                "dig": pa.array(np.array([xxhash.xxh64_intdigest(v) for v in values], U).view(np.int64)),
                 "packed": pa.array([z.compress(v) for v in values], pa.binary()),
                 "null": b.column(1).is_null(),
                 **rest,

@@ -128,7 +128,7 @@ def test_jaccard_bounds_lose_no_pair():
 
 
 def cut(docs, window=100):
-    order = sorted({(r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()}, key=lambda r: (r[0], r[1], repeats.xxhash.xxh3_64_intdigest(r[2].encode())))
+    order = sorted({(r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()}, key=lambda r: (r[0], r[1], repeats.xxhash.xxh64_intdigest(r[2].encode())))
     seen, out = set(), {}
     for has, d, t in order:
         b, gone = t.encode(), bytearray(len(t.encode()))
