@@ -48,7 +48,9 @@ from foliant.llm.token_files import slices
 
 SPACE = "▁"
 LONGEST = 60
-MOST_PIECES = 1_000_000
+MOST_PIECES = 500_000
+#: Bit of an edge that marks a late piece; ids lie below it.
+LATE = 1 << 19
 #: Text of a block. Larger ones share more units and take more memory.
 BLOCK_BYTES = 14 << 20
 NULL_ID = -(1 << 63)
@@ -230,28 +232,44 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                 yield pa.RecordBatch.from_arrays([pa.array([to[own[0]]], pa.int32()), pa.array([block], pa.int64()), pa.array([own.astype("<u4").tobytes()], pa.binary()), pa.array([_joined([units[i] for i in own])], pa.binary())], names=["bucket", "block", "places", "units"])
 
 
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", _long(1), place.cast("int"))
+
+
 def piece_table(spark: SparkSession, m: Model) -> DataFrame:
-    if len(m.pieces) > MOST_PIECES:
+    """(piece, edge): an edge is one number, of the order of the score (equal
+    scores are equal), two places, whether the piece is late, and its id."""
+    if len(m.pieces) > MOST_PIECES or len(m.decoded) >= LATE:
         raise ValueError("the piece table is too large to broadcast")
     late = late_pieces(m.pieces) if m.bpe else set()
-    rows = [(p, i, float(-s), p in late) for p, (i, s) in m.pieces.items()]
-    return spark.createDataFrame(rows, "piece string, id int, cost double, late boolean")
+    order = {c: i for i, c in enumerate(sorted({-x for _, x in m.pieces.values()}))}
+    rows = [(p, order[-x] << 32 | (LATE if p in late else 0) | i) for p, (i, x) in m.pieces.items()]
+    return spark.createDataFrame(rows, "piece string, edge long")
+
+
+def first_of(e: Column) -> Column:
+    return F.shiftright(e, 26).bitwiseAND(_long(63))
+
+
+def end_of(e: Column) -> Column:
+    return F.shiftright(e, 20).bitwiseAND(_long(63))
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges, wide, late) of distinct ``units``: edges are (cost, i, j, id,
-    ends, inner), where ends and inner have a bit for each place; wide ones have two
-    characters or more; late says whether one is a late piece. An edge of one character is always
-    there, with a null id where no piece is. Partitioned by unit beforehand, the
-    edges of a unit never move."""
+    """(unit, edges): the edges of each distinct unit in the order of score and
+    place; those of one character are left to the end, but that of the first is
+    always there, so that no unit is lost. Partitioned by unit beforehand, the edges
+    of a unit never move."""
     n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i)), lambda k: F.struct(i.alias("i"), (i + k).alias("j")))))
-    sub = units.filter(n > 0).select("unit", F.explode(spans).alias("s")).select("unit", "s.i", "s.j", F.expr("substring(unit, s.i + 1, s.j - s.i)").alias("piece"))
-    joined = sub.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR j = i + 1")
-    bit = lambda c: F.expr(f"shiftleft(1L, {c})")
-    edge = F.struct(F.coalesce("cost", F.lit(0.0)).alias("cost"), "i", "j", "id", (bit("i") + bit("j")).alias("ends"), (bit("j") - bit("i + 1")).alias("inner"))
-    rows = joined.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.coalesce(F.bool_or("late"), F.lit(False)).alias("late"))
-    return rows.withColumn("wide", F.filter("edges", lambda e: e["j"] > e["i"] + 1))
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.filter(F.sequence(F.lit(1), F.least(F.lit(longest), n - i)), lambda k: (k > 1) | (i == 0)), lambda k: F.struct(i.alias("i"), k.alias("k")))))
+    sub = units.filter(n > 0).select("unit", F.explode(spans).alias("s")).select("unit", "s.i", "s.k", F.expr("substring(unit, s.i + 1, s.k)").alias("piece"))
+    joined = sub.join(F.broadcast(pieces), "piece", "left").filter("edge IS NOT NULL OR k = 1")
+    placed = F.expr("coalesce(edge, 0L) + shiftleft(cast(i as bigint), 26) + shiftleft(cast(i + k as bigint), 20)")
+    return joined.groupBy("unit").agg(F.sort_array(F.collect_list(placed)).alias("edges"))
 
 
 def _byte_ids(ch: Column, m: Model) -> Column:
@@ -265,42 +283,65 @@ def _byte_ids(ch: Column, m: Model) -> Column:
     return F.transform(F.sequence(F.lit(1), (F.length(digits) / 2).cast("int")), lambda k: F.conv(F.substring(digits, (k * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("int") + low)
 
 
-def merged_fold(edges: Column, unit: Column) -> Column:
-    """The boundaries left after all merges, as bits."""
-    n = F.length(unit)
+def _char_ids(ch: Column, m: Model) -> Column:
+    """The ids of one character: its piece, by an array over code points, or bytes."""
+    own = {ord(p): i for p, (i, _) in m.pieces.items() if len(p) == 1}
+    near, far = {c: i for c, i in own.items() if c < 1 << 16}, {c: i for c, i in own.items() if c >= 1 << 16}
+    by_code = F.from_json(F.lit(str([near.get(c, -1) for c in range(1 + max(near, default=0))])), "array<int>")
+    code = F.ascii(ch)
+    found = F.coalesce(F.get(by_code, code), F.lit(-1))
+    for c, i in far.items():
+        found = F.when(code == c, i).otherwise(found)
+    return F.when(found >= 0, F.array(found)).otherwise(_byte_ids(ch, m))
+
+
+def merged_fold() -> Column:
+    """The boundaries of ``unit`` left after all merges of ``wide``, as bits."""
+    n = F.length("unit")
     first = F.expr("shiftleft(1L, length(unit) + 1) - 1")
     fits = lambda state, e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inner"])) == 1)
     without = lambda state, inner: state.bitwiseAND(F.bitwise_not(inner))
     once = F.aggregate("wide", first, lambda state, e: F.when(fits(state, e), without(state, e["inner"])).otherwise(state))
 
     def best(state: Column, _: Column) -> Column:
-        return without(state, F.coalesce(F.get(F.filter("wide", lambda e: fits(state, e)), 0)["inner"], F.lit(0).cast("long")))
+        return without(state, F.coalesce(F.get(F.filter("wide", lambda e: fits(state, e)), 0)["inner"], _long(0)))
 
-    return F.when(n == 1, first).when(F.col("late"), F.aggregate(F.sequence(F.lit(1), n - 1), first, best)).otherwise(once)
+    late = F.exists("edges", lambda e: e.bitwiseAND(_long(LATE)) != 0)
+    return F.when(n == 1, first).when(late, F.aggregate(F.sequence(F.lit(1), n - 1), first, best)).otherwise(once)
 
 
-def viterbi_fold(edges: Column, unit: Column) -> Column:
-    """The boundaries of the path of least cost, as bits (unigram models)."""
-    n = F.length(unit)
+def viterbi_fold(m: Model) -> Column:
+    """The boundaries of the path of least cost, as bits (unigram models). A
+    character alone costs its piece's score, or much if it has none."""
+    n = F.length("unit")
+    costs = dict(m.pieces.values())
+    by_id = F.from_json(F.lit(str([-costs.get(i, 0.0) for i in range(len(m.decoded))])), "array<double>")
     kind = "array<struct<cost:double,path:bigint>>"
 
     def step(best: Column, j: Column) -> Column:
-        into = F.filter(edges, lambda e: e["j"] == j)
-        ways = F.transform(into, lambda e: F.struct((F.get(best, e["i"])["cost"] + F.when(e["id"].isNull(), 1e6).otherwise(e["cost"])).alias("cost"), F.get(best, e["i"])["path"].bitwiseOR(e["ends"]).alias("path")))
-        return F.concat(best, F.array(F.array_min(ways)))
-
-    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(1).cast("long").alias("path"))).cast(kind)
+        into = F.filter("edges", lambda e: (end_of(e) == j) & (first_of(e) < j - 1))
+        wide = F.transform(into, lambda e: F.struct((F.get(best, first_of(e).cast("int"))["cost"] + F.get(by_id, e.bitwiseAND(_long(LATE - 1)).cast("int"))).alias("cost"), F.get(best, first_of(e).cast("int"))["path"].bitwiseOR(_bit(j)).alias("path")))
+        ids = _char_ids(F.substring(F.col("unit"), j, F.lit(1)), m)
+        alone = F.when((F.size(ids) == 1) & (F.get(ids, 0) != m.unknown), F.get(by_id, F.get(ids, 0))).otherwise(1e6)
+        last = F.get(best, (j - 1).cast("int"))
+        one = F.struct((last["cost"] + alone).alias("cost"), last["path"].bitwiseOR(_bit(j)).alias("path"))
+        return F.concat(best, F.array(F.array_min(F.concat(wide, F.array(one)))))
+
+    start = F.array(F.struct(F.lit(0.0).alias("cost"), _long(1).alias("path"))).cast(kind)
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), start, step), -1)["path"]
 
 
 def encoded_units(units: DataFrame, m: Model, parts: int) -> DataFrame:
     """(unit, ids) of distinct units of up to ``LONGEST`` characters."""
     rows = lattice(units.repartition(parts, "unit"), piece_table(units.sparkSession, m), m.longest)
-    fold = merged_fold if m.bpe else viterbi_fold
-    rows = rows.withColumn("bits", fold(F.col("edges"), F.col("unit")))
-    kept = F.filter("edges", lambda e: (F.col("bits").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("bits").bitwiseAND(e["inner"]) == 0))
-    inorder = F.sort_array(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["id"].alias("id"))))
-    ids = F.flatten(F.transform(inorder, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(_byte_ids(F.substring(F.col("unit"), e["i"] + 1, F.lit(1)), m))))
+    spans = lambda e: F.struct((_bit(first_of(e)) + _bit(end_of(e))).alias("ends"), (_bit(end_of(e)) - _bit(first_of(e) + 1)).alias("inner"))
+    rows = rows.withColumn("wide", F.transform(F.filter("edges", lambda e: end_of(e) > first_of(e) + 1), spans))
+    rows = rows.withColumn("bits", merged_fold() if m.bpe else viterbi_fold(m))
+    held = lambda e: (F.col("bits").bitwiseAND(spans(e)["ends"]) == spans(e)["ends"]) & (F.col("bits").bitwiseAND(spans(e)["inner"]) == 0) & (end_of(e) > first_of(e) + 1)
+    wide = F.transform(F.filter("edges", held), lambda e: F.struct(first_of(e).cast("int").alias("i"), F.array(e.bitwiseAND(_long(LATE - 1)).cast("int")).alias("ids")))
+    alone = F.filter(F.sequence(F.lit(0), F.length("unit") - 1), lambda p: F.col("bits").bitwiseAND(_bit(p) + _bit(p + 1)) == _bit(p) + _bit(p + 1))
+    single = F.transform(alone, lambda p: F.struct(p.alias("i"), _char_ids(F.substring(F.col("unit"), p + 1, F.lit(1)), m).alias("ids")))
+    ids = F.flatten(F.transform(F.sort_array(F.concat(wide, single)), lambda x: x["ids"]))
     return rows.select("unit", ids.alias("ids"))
 
 
