@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def multiset_scores(seen: DataFrame, true: DataFrame, sample: str, item: str) -> DataFrame:
@@ -31,7 +32,7 @@ def word_distance(a: Sequence, b: Sequence) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def word_error_rate(seen: pd.Series, true: pd.Series) -> pd.Series:
     """Word edits by the number of true words (at least 1)."""
     return pd.Series([word_distance((x or "").split(), (y or "").split()) / max(1, len((y or "").split())) for x, y in zip(seen, true, strict=True)])
@@ -117,7 +118,7 @@ def table_tree(html: str) -> tuple:
     return ("table", [("tr", cell(r)) for r in rows])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def table_similarity(seen: pd.Series, true: pd.Series) -> pd.Series:
     """1 less the share of nodes that edits touch."""
 

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from foliant.operators import operations as o
 from foliant.registry import query, read
 
-AS_OF = F.lit("2024-01-31 00:00:00").cast("timestamp")
+def as_of():
+    """The moment that time-dependent queries look from."""
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+
 T = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
@@ -34,14 +38,14 @@ def fl05(spark, d):
 @query("fl06_retry_candidates", f"SELECT event_id FROM events WHERE event_type = 'error' AND NOT (value > 180) AND user_id % 2 = 0 AND ts + INTERVAL 1 DAY <= {T}")
 def fl06(spark, d):
     rows = events(spark, d).select("event_id", F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), (F.col("value") > 180).alias("dead"), (F.col("user_id") % 2 == 0).alias("retryable"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("next_at"))
-    return o.retry_due(rows, AS_OF).select("event_id")
+    return o.retry_due(rows, as_of()).select("event_id")
 
 
 @query("fl07_retry_eligibility", f"""WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS last_at FROM events GROUP BY user_id)
 SELECT user_id, CASE WHEN state IN ('view','click') THEN 'active' WHEN state = 'purchase' THEN 'succeeded' WHEN last_at > {T} - INTERVAL 6 HOUR THEN 'cooldown' ELSE 'eligible' END AS reason FROM l""")
 def fl07(spark, d):
     last = o.latest(events(spark, d).select("user_id", "event_type", "ts", "event_id"), ["user_id"], ["ts", "event_id"])
-    reason = F.when(F.col("event_type").isin("view", "click"), "active").when(F.col("event_type") == "purchase", "succeeded").when(F.col("ts") > AS_OF - F.expr("INTERVAL 6 HOURS"), "cooldown").otherwise("eligible")
+    reason = F.when(F.col("event_type").isin("view", "click"), "active").when(F.col("event_type") == "purchase", "succeeded").when(F.col("ts") > as_of() - F.expr("INTERVAL 6 HOURS"), "cooldown").otherwise("eligible")
     return last.select("user_id", reason.alias("reason"))
 
 
@@ -57,36 +61,36 @@ def wn05(spark, d):
 
 @query("wn12_stale_tasks", f"SELECT user_id, max(ts) AS heartbeat FROM events GROUP BY user_id HAVING {T} - max(ts) > INTERVAL 12 HOUR")
 def wn12(spark, d):
-    return o.freshness(events(spark, d), "user_id", "ts", AS_OF, 12 * 3600).filter("NOT fresh").select("user_id", F.col("last").alias("heartbeat"))
+    return o.freshness(events(spark, d), "user_id", "ts", as_of(), 12 * 3600).filter("NOT fresh").select("user_id", F.col("last").alias("heartbeat"))
 
 
 @query("wn13_worker_freshness", f"SELECT event_type AS worker, date_diff('second', max(ts), {T}) AS age_s, date_diff('second', max(ts), {T}) <= 3600 AS fresh FROM events GROUP BY event_type")
 def wn13(spark, d):
-    return o.freshness(events(spark, d), "event_type", "ts", AS_OF, 3600).select(F.col("event_type").alias("worker"), "age_s", "fresh")
+    return o.freshness(events(spark, d), "event_type", "ts", as_of(), 3600).select(F.col("event_type").alias("worker"), "age_s", "fresh")
 
 
 @query("rt01_expired_artifacts", f"WITH k AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT event_id FROM k WHERE ts <= {T} - INTERVAL 7 DAY AND rn > 500")
 def rt01(spark, d):
     rows = events(spark, d).select("event_id", "ts")
-    return o.expired(rows, F.col("ts"), AS_OF, 7, 500, [F.desc("ts"), F.desc("event_id")]).select("event_id")
+    return o.expired(rows, F.col("ts"), as_of(), 7, 500, [F.desc("ts"), F.desc("event_id")]).select("event_id")
 
 
 @query("rt02_expired_tasks", f"SELECT event_id FROM events WHERE coalesce(CASE WHEN event_type = 'purchase' THEN ts + INTERVAL 1 HOUR END, ts) <= {T} - INTERVAL 14 DAY AND event_type <> 'view'")
 def rt02(spark, d):
     finished = F.when(F.col("event_type") == "purchase", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
-    return o.expired(events(spark, d), F.coalesce(finished, "ts"), AS_OF, 14, active=F.col("event_type") == "view").select("event_id")
+    return o.expired(events(spark, d), F.coalesce(finished, "ts"), as_of(), 14, active=F.col("event_type") == "view").select("event_id")
 
 
 @query("rt03_expired_audit", f"WITH f AS (SELECT event_id, ts FROM events WHERE ts < {T} - INTERVAL 10 DAY), k AS (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn FROM f) SELECT event_id FROM k WHERE rn > 200")
 def rt03(spark, d):
     rows = events(spark, d).select("event_id", "ts")
-    return o.expired(rows, F.col("ts"), AS_OF, 10, 200, [F.desc("ts"), F.desc("event_id")], strict=True, on_kept=True).select("event_id")
+    return o.expired(rows, F.col("ts"), as_of(), 10, 200, [F.desc("ts"), F.desc("event_id")], strict=True, on_kept=True).select("event_id")
 
 
 @query("rt04_expired_checks", f"SELECT event_id FROM events WHERE coalesce(CASE WHEN event_type <> 'click' THEN ts END <= {T} - INTERVAL 20 DAY, true)")
 def rt04(spark, d):
     at = F.when(F.col("event_type") != "click", F.col("ts"))
-    return o.expired(events(spark, d), at, AS_OF, 20, bad_is_old=True).select("event_id")
+    return o.expired(events(spark, d), at, as_of(), 20, bad_is_old=True).select("event_id")
 
 
 @query("rt06_retry_attempts", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS source_id FROM events WHERE event_type = 'error'")
@@ -183,9 +187,9 @@ def dt01(spark, d):
 
 @query("dt02_ages", f"SELECT event_id, date_diff('second', ts, {T}) AS age_s FROM events")
 def dt02(spark, d):
-    return events(spark, d).select("event_id", (F.unix_timestamp(AS_OF) - F.unix_timestamp("ts")).alias("age_s"))
+    return events(spark, d).select("event_id", (F.unix_timestamp(as_of()) - F.unix_timestamp("ts")).alias("age_s"))
 
 
 @query("dt04_day_differences", f"SELECT o_orderkey, date_diff('day', o_orderdate::DATE, ({T})::DATE) AS days FROM orders")
 def dt04(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", F.datediff(AS_OF, "o_orderdate").cast("long").alias("days"))
+    return read(spark, d, "orders").select("o_orderkey", F.datediff(as_of(), "o_orderdate").cast("long").alias("days"))

@@ -10,17 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """``events`` with a ``ts`` that can carry a watermark."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed(events: DataFrame, width: str, late: str | None = None) -> DataFrame:
     """Counts and sums of each type and fixed window; with ``late``, a watermark,
     the same plan serves a stream and drops its state as windows close."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = timed(events).withWatermark("ts", late) if late else events
     out = rows.groupBy("event_type", F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select("event_type", F.col("w.start").alias("bucket"), "n", "total")
 
 
 def replayed(events: DataFrame, late: str) -> DataFrame:
     """A stream without the events it has seen within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
