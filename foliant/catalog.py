@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import documents, evaluation, geometry, operations, store, text
+from foliant.plans import documents, evaluation, geometry, operations, rules, store, text
 from foliant.registry import ORACLES, QUERIES, Query
 
-MODULES = (text, documents, store, operations, evaluation, geometry)
+MODULES = (text, documents, store, operations, evaluation, geometry, rules)
 
 
 def queries() -> dict[str, Query]:
