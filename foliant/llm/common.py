@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 
@@ -19,6 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     A session without that setting (tests) gets a folder below the warehouse.
     """
+    small_batches(spark)
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
@@ -28,6 +30,59 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Rows of an Arrow batch. Texts are long; Spark's own 10,000 would hold tens of MB
+#: in each of several copies.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds of a partition at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def trim() -> None:
+    """Gives memory that a finished step of this worker doesn't need back, as
+    workers live on from stage to stage."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(f):
+    """``f`` over a group's table, or two groups' tables, followed by ``trim``.
+    Spark asks a function for one or two arguments."""
+
+    def one(a):
+        try:
+            return f(a)
+        finally:
+            trim()
+
+    def two(a, b):
+        try:
+            return f(a, b)
+        finally:
+            trim()
+
+    return two if f.__code__.co_argcount == 2 else one
+
+
+def trimmed_stream(f):
+    """``f`` over an iterator of batches, followed by ``trim``."""
+
+    def run(batches):
+        yield from f(batches)
+        trim()
+
+    return run
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

@@ -36,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import trimmed, trimmed_stream, written
 from foliant.llm.graph import components
 from foliant.llm.token_files import slices
 
 U = np.uint64
 CHUNK = 2000
+#: Text that is hashed at a time, in bytes.
+SLICE = 3 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -143,7 +145,7 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterat
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sigs", pa.list_(pa.binary())), ("sketches", pa.list_(pa.binary()))])
     for b in batches:
         ids, at = b.column(0), 0
-        for texts in slices(b.column(1)):
+        for texts in slices(b.column(1), SLICE):
             rows = rows_of(texts, n)
             meets = [classes(len(r), percent) for r in rows]
             yield pa.RecordBatch.from_arrays(
@@ -277,12 +279,12 @@ def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int, standing: Da
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for texts in slices(b.column(1)):
+            for texts in slices(b.column(1), SLICE):
                 sets = [r.tobytes() for r in rows_of(texts, n)]
                 yield pa.RecordBatch.from_pydict({"doc": b.column(0).slice(at, len(texts)).cast(pa.int64()), "digest": pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), "row": pa.array(sets, pa.binary())})
                 at += len(texts)
 
-    sets = some.mapInArrow(rows, "doc long, digest binary, row binary")
+    sets = some.mapInArrow(trimmed_stream(rows), "doc long, digest binary, row binary")
     sets = written(sets.join(standing, ["doc", "digest"], "left_semi").drop("digest"), "rows")
     part = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("k") / CHUNK))).cast("long")
     sized = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("k")), "a").select("a", "b", part.alias("part"))
@@ -297,7 +299,7 @@ def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int, standing: Da
 def clustered(docs: DataFrame, n: int = 3, percent: int = 90, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(docs.mapInArrow(lambda b: _describe(b, n, percent), ROWS), "incidence")
+    rows = written(docs.mapInArrow(trimmed_stream(lambda b: _describe(b, n, percent)), ROWS), "incidence")
     if buckets is None:
         buckets = max(32, rows.count() // 3000)
     named = rows.filter("n > 0 AND doc_id IS NOT NULL")
@@ -306,8 +308,8 @@ def clustered(docs: DataFrame, n: int = 3, percent: int = 90, buckets: int | Non
     standing = reps.groupBy("rep").agg(F.min("digest").alias("digest")).select(F.col("rep").alias("doc"), "digest")
     least = bounds(percent)[0]
     distinct = named.filter(F.col("n") >= least).withColumnRenamed("doc_id", "doc").join(standing, ["doc", "digest"], "left_semi")
-    entries = distinct.select("doc", "n", "sigs").mapInArrow(lambda b: _dealt(b, buckets, percent), "bucket int, sig binary, doc binary, cls binary")
-    groups = entries.groupBy("bucket").applyInArrow(_grouped, "gid long, cls int, chunk long, doc long")
+    entries = distinct.select("doc", "n", "sigs").mapInArrow(trimmed_stream(lambda b: _dealt(b, buckets, percent)), "bucket int, sig binary, doc binary, cls binary")
+    groups = entries.groupBy("bucket").applyInArrow(trimmed(lambda t: _grouped(t)), "gid long, cls int, chunk long, doc long")
     groups = written(groups.dropDuplicates(["gid", "doc"]), "groups")
     own = F.udf(lambda x: class_of(x, percent), "int")
     info = distinct.select("doc", "n", "sketches").join(groups.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).withColumn("own", own("n"))
@@ -318,11 +320,11 @@ def clustered(docs: DataFrame, n: int = 3, percent: int = 90, buckets: int | Non
     heads = members.filter("chunk = 0").groupBy("gid").agg(F.min_by(F.struct("doc", "n", "sketch"), "doc").alias("h"))
     others = members.filter("chunk > 0").select("gid", "chunk").distinct()
     led = members.unionByName(others.join(heads, "gid").select("gid", "chunk", "h.doc", "h.n", "h.sketch"))
-    first = linked(led.groupBy("gid", "chunk").applyInArrow(lambda t: _led(t, percent), PAIR), docs, n, percent, standing)
+    first = linked(led.groupBy("gid", "chunk").applyInArrow(trimmed(lambda t: _led(t, percent)), PAIR), docs, n, percent, standing)
     comp = written(components(first), "components")
     label = members.join(comp, members.doc == comp.node, "left").select("gid", "doc", "n", "sketch", F.coalesce("component", "doc").alias("component"))
     mixed = label.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("gid")
-    apart = label.join(mixed, "gid", "left_semi").groupBy("gid").applyInArrow(lambda t: _apart(t, percent), PAIR)
+    apart = label.join(mixed, "gid", "left_semi").groupBy("gid").applyInArrow(trimmed(lambda t: _apart(t, percent)), PAIR)
     second = linked(apart, docs, n, percent, standing)
     # The components stand for the links of the first round.
     comp = components(second.union(comp.select("node", "component")))

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import trimmed, trimmed_stream, written
 from foliant.llm.token_files import slices
 
 SPACE = "▁"
@@ -148,18 +148,27 @@ def units_of(text: str) -> list[str]:
     return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text)
 
 
-def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    at = 0
-    for t in slices(texts, BLOCK_BYTES):
-        yield at, t
-        at += len(t)
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of about ``BLOCK_BYTES`` each, over the bounds of batches."""
+    held, size = [], 0
+    for b in batches:
+        at = 0
+        for t in slices(b.column(1), BLOCK_BYTES):
+            held.append((b.column(0).slice(at, len(t)), t))
+            at += len(t)
+            size += pc.sum(pc.binary_length(t)).as_py() or 0
+            if size >= 0.8 * BLOCK_BYTES:
+                yield tuple(pa.concat_arrays(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays(x) for x in zip(*held, strict=True))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], cut: re.Pattern) -> Iterator[pa.RecordBatch]:
     """(block, docs, lengths, hashes, codes, units): a block's documents as
     sequences of numbers of its distinct units."""
     z = zstandard.ZstdCompressor(level=3)
-    for no, (ids, texts) in enumerate((b.column(0).slice(at, len(t)), pc.fill_null(t, "")) for b in batches for at, t in _parts(b.column(1))):
+    for no, (ids, texts) in enumerate((i, pc.fill_null(t, "")) for i, t in _parts(batches)):
         hashes = np.array([xxhash.xxh64_intdigest(x.encode()) for x in texts.to_pylist()], np.uint64)
         marked = pc.replace_substring(texts, " ", SPACE)
         odd = pc.or_(pc.match_substring(marked, SPACE * 2), pc.starts_with(marked, SPACE))
@@ -361,15 +370,15 @@ def _encode(docs: DataFrame, model_path: str, bpe: bool, told, schema: str) -> D
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = "block long, docs binary, lengths binary, hashes binary, codes binary, units binary"
     cut = m.cut
-    blocks = written(slim.mapInArrow(lambda b: _blocks(b, cut), kinds), "blocks")
+    blocks = written(slim.mapInArrow(trimmed_stream(lambda b: _blocks(b, cut)), kinds), "blocks")
     buckets = max(48, 2 * blocks.count())
-    dealt = written(blocks.select("block", "units").mapInArrow(lambda b: _dealt(b, buckets), "bucket int, block long, places binary, units binary"), "units")
+    dealt = written(blocks.select("block", "units").mapInArrow(trimmed_stream(lambda b: _dealt(b, buckets)), "bucket int, block long, places binary, units binary"), "units")
 
     def distinct(t: pa.Table) -> pa.Table:
         own = sorted({u for p in t.column("units").to_pylist() for u in _unjoined(p)})
         return pa.table({"unit": pa.array([u for u in own if len(u) <= LONGEST], pa.string())})
 
-    units = dealt.select("bucket", "units").groupBy("bucket").applyInArrow(distinct, "unit string")
+    units = dealt.select("bucket", "units").groupBy("bucket").applyInArrow(trimmed(lambda t: distinct(t)), "unit string")
     kind = "array<smallint>" if len(m.decoded) < 1 << 15 else "array<int>"
     known = written(encoded_units(units, m, buckets).select(F.pmod(F.crc32(F.encode("unit", "utf-8")), F.lit(buckets)).cast("int").alias("bucket"), "unit", F.col("ids").cast(kind).alias("ids")), "pieces")
 
@@ -382,12 +391,12 @@ def _encode(docs: DataFrame, model_path: str, bpe: bool, told, schema: str) -> D
             out.append(z.compress(size.tobytes() + np.array([i for x in got for i in x], "<u4").tobytes()))
         return pa.table({"block": d.column("block"), "places": d.column("places"), "ids": pa.array(out, pa.binary())})
 
-    placed_ids = dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(placed, "block long, places binary, ids binary")
+    placed_ids = dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(trimmed(lambda d, e: placed(d, e)), "block long, places binary, ids binary")
 
     def put(b: pa.Table, p: pa.Table) -> pa.Table:
         return told(*_assembled(b, p), m)
 
-    return blocks.drop("units").groupBy("block").cogroup(placed_ids.groupBy("block")).applyInArrow(put, schema)
+    return blocks.drop("units").groupBy("block").cogroup(placed_ids.groupBy("block")).applyInArrow(trimmed(lambda b, p: put(b, p)), schema)
 
 
 def _assembled(b: pa.Table, p: pa.Table) -> tuple:

@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from foliant.llm.common import small_batches, trimmed, trimmed_stream
 from foliant.llm.token_files import slices
 
 WINDOW = 100
@@ -397,18 +398,19 @@ def _rest(value: bytes, spans: np.ndarray | None) -> bytes:
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(packed documents, marks), both with their ``part``."""
+    small_batches(docs.sparkSession)
     n = docs.count()
     parts, buckets = max(48, n // 3000), max(64, n // 1500)
     text, key = F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id")
     slim, others = docs.select(key, text), [c for c in docs.columns if c != text_col]
     kinds = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
     base = "part int, doc long, dig long, packed binary, null boolean"
-    whole = docs.select(key, text, *(F.col(c).alias(f"_{i}") for i, c in enumerate(others))).mapInArrow(lambda b: _packed(b, parts), f"{base}, {kinds}")
-    counted = slim.mapInArrow(lambda b: _count_anchors(b, buckets), "bucket int, hits binary, known binary")
-    hits = counted.groupBy("bucket").applyInArrow(lambda t: _repeating(t, parts), "part int, hits binary")
-    lean = slim.mapInArrow(lambda b: _packed(b, parts), base).drop("null")
-    sent = lean.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(lambda d, h: _send(d, h, buckets), "bucket int, meta binary, bytes binary, marks binary")
-    marks = sent.groupBy("bucket").applyInArrow(lambda t: _indexed(t, parts), "part int, marks binary")
+    whole = docs.select(key, text, *(F.col(c).alias(f"_{i}") for i, c in enumerate(others))).mapInArrow(trimmed_stream(lambda b: _packed(b, parts)), f"{base}, {kinds}")
+    counted = slim.mapInArrow(trimmed_stream(lambda b: _count_anchors(b, buckets)), "bucket int, hits binary, known binary")
+    hits = counted.groupBy("bucket").applyInArrow(trimmed(lambda t: _repeating(t, parts)), "part int, hits binary")
+    lean = slim.mapInArrow(trimmed_stream(lambda b: _packed(b, parts)), base).drop("null")
+    sent = lean.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(trimmed(lambda d, h: _send(d, h, buckets)), "bucket int, meta binary, bytes binary, marks binary")
+    marks = sent.groupBy("bucket").applyInArrow(trimmed(lambda t: _indexed(t, parts)), "part int, marks binary")
     return whole, marks
 
 
