@@ -274,8 +274,9 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     always there, so that no unit is lost. Partitioned by unit beforehand, the edges
     of a unit never move."""
     n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.filter(F.sequence(F.lit(1), F.least(F.lit(longest), n - i)), lambda k: (k > 1) | (i == 0)), lambda k: F.struct(i.alias("i"), k.alias("k")))))
-    sub = units.filter(n > 0).select("unit", F.explode(spans).alias("s")).select("unit", "s.i", "s.k", F.expr("substring(unit, s.i + 1, s.k)").alias("piece"))
+    starts = units.filter(n > 0).select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).filter((F.col("i") == 0) | (n - F.col("i") >= 2))
+    lengths = F.sequence(F.when(F.col("i") == 0, 1).otherwise(2), F.least(F.lit(longest), n - F.col("i")))
+    sub = starts.select("unit", "i", F.explode(lengths).alias("k")).select("unit", "i", "k", F.expr("substring(unit, i + 1, k)").alias("piece"))
     joined = sub.join(F.broadcast(pieces), "piece", "left").filter("edge IS NOT NULL OR k = 1")
     placed = F.expr("coalesce(edge, 0L) + shiftleft(cast(i as bigint), 26) + shiftleft(cast(i + k as bigint), 20)")
     return joined.groupBy("unit").agg(F.sort_array(F.collect_list(placed)).alias("edges"))
@@ -367,6 +368,8 @@ def token_ids(docs: DataFrame, model_path: str, bpe: bool = True) -> DataFrame:
 
 def _encode(docs: DataFrame, model_path: str, bpe: bool, told, schema: str) -> DataFrame:
     m = Model.load(model_path, bpe)
+    # A task has some ten thousand units; their edges fit in memory without a sort.
+    docs.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 17))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = "block long, docs binary, lengths binary, hashes binary, codes binary, units binary"
     cut = m.cut
