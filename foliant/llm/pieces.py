@@ -206,13 +206,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], cut: re.Pattern) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([block], pa.int64()),
-                *(pa.array([x], pa.binary()) for x in (docs.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), hashes.tobytes(), z.compress(codes.tobytes()))),
+                *(pa.array([x], pa.binary()) for x in (docs.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), hashes.tobytes(), z.compress(_planes(codes)))),
                 pa.array([_joined(list(index))], pa.binary()),
             ],
             names=["block", "docs", "lengths", "hashes", "codes", "units"],
         )
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers by significance, which compress better so."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _joined(units: list[str]) -> bytes:
     """Units with their lengths in front, so that any character may occur."""
     data = [u.encode() for u in units]
@@ -269,17 +278,17 @@ def end_of(e: Column) -> Column:
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges): the edges of each distinct unit in the order of score and
+    """(bucket, unit, edges): the edges of each distinct unit in the order of score and
     place; those of one character are left to the end, but that of the first is
-    always there, so that no unit is lost. Partitioned by unit beforehand, the edges
-    of a unit never move."""
+    always there, so that no unit is lost. Partitioned by bucket beforehand, the
+    edges of a unit never move."""
     n = F.length("unit")
-    starts = units.filter(n > 0).select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).filter((F.col("i") == 0) | (n - F.col("i") >= 2))
+    starts = units.filter(n > 0).select("bucket", "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).filter((F.col("i") == 0) | (n - F.col("i") >= 2))
     lengths = F.sequence(F.when(F.col("i") == 0, 1).otherwise(2), F.least(F.lit(longest), n - F.col("i")))
-    sub = starts.select("unit", "i", F.explode(lengths).alias("k")).select("unit", "i", "k", F.expr("substring(unit, i + 1, k)").alias("piece"))
+    sub = starts.select("bucket", "unit", "i", F.explode(lengths).alias("k")).select("bucket", "unit", "i", "k", F.expr("substring(unit, i + 1, k)").alias("piece"))
     joined = sub.join(F.broadcast(pieces), "piece", "left").filter("edge IS NOT NULL OR k = 1")
     placed = F.expr("coalesce(edge, 0L) + shiftleft(cast(i as bigint), 26) + shiftleft(cast(i + k as bigint), 20)")
-    return joined.groupBy("unit").agg(F.sort_array(F.collect_list(placed)).alias("edges"))
+    return joined.groupBy("bucket", "unit").agg(F.sort_array(F.collect_list(placed)).alias("edges"))
 
 
 def _byte_ids(ch: Column, m: Model) -> Column:
@@ -342,8 +351,8 @@ def viterbi_fold(m: Model) -> Column:
 
 
 def encoded_units(units: DataFrame, m: Model, parts: int) -> DataFrame:
-    """(unit, ids) of distinct units of up to ``LONGEST`` characters."""
-    rows = lattice(units.repartition(parts, "unit"), piece_table(units.sparkSession, m), m.longest)
+    """(bucket, unit, ids) of distinct units (bucket, unit) of up to ``LONGEST`` characters."""
+    rows = lattice(units.repartition(parts, "bucket"), piece_table(units.sparkSession, m), m.longest)
     spans = lambda e: F.struct((_bit(first_of(e)) + _bit(end_of(e))).alias("ends"), (_bit(end_of(e)) - _bit(first_of(e) + 1)).alias("inner"))
     rows = rows.withColumn("wide", F.transform(F.filter("edges", lambda e: end_of(e) > first_of(e) + 1), spans))
     rows = rows.withColumn("bits", merged_fold() if m.bpe else viterbi_fold(m))
@@ -352,7 +361,7 @@ def encoded_units(units: DataFrame, m: Model, parts: int) -> DataFrame:
     alone = F.filter(F.sequence(F.lit(0), F.length("unit") - 1), lambda p: F.col("bits").bitwiseAND(_bit(p) + _bit(p + 1)) == _bit(p) + _bit(p + 1))
     single = F.transform(alone, lambda p: F.struct(p.alias("i"), _char_ids(F.substring(F.col("unit"), p + 1, F.lit(1)), m).alias("ids")))
     ids = F.flatten(F.transform(F.sort_array(F.concat(wide, single)), lambda x: x["ids"]))
-    return rows.select("unit", ids.alias("ids"))
+    return rows.select("bucket", "unit", ids.alias("ids"))
 
 
 def encoded(docs: DataFrame, model_path: str, bpe: bool = True) -> DataFrame:
@@ -374,16 +383,17 @@ def _encode(docs: DataFrame, model_path: str, bpe: bool, told, schema: str) -> D
     kinds = "block long, docs binary, lengths binary, hashes binary, codes binary, units binary"
     cut = m.cut
     blocks = written(slim.mapInArrow(trimmed_stream(lambda b: _blocks(b, cut)), kinds), "blocks")
-    buckets = max(48, 2 * blocks.count())
+    buckets = max(192, 6 * blocks.count())
     dealt = written(blocks.select("block", "units").mapInArrow(trimmed_stream(lambda b: _dealt(b, buckets)), "bucket int, block long, places binary, units binary"), "units")
 
     def distinct(t: pa.Table) -> pa.Table:
         own = sorted({u for p in t.column("units").to_pylist() for u in _unjoined(p)})
-        return pa.table({"unit": pa.array([u for u in own if len(u) <= LONGEST], pa.string())})
+        own = [u for u in own if len(u) <= LONGEST]
+        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()] * len(own), pa.int32()), "unit": pa.array(own, pa.string())})
 
-    units = dealt.select("bucket", "units").groupBy("bucket").applyInArrow(trimmed(lambda t: distinct(t)), "unit string")
+    units = dealt.select("bucket", "units").groupBy("bucket").applyInArrow(trimmed(lambda t: distinct(t)), "bucket int, unit string")
     kind = "array<smallint>" if len(m.decoded) < 1 << 15 else "array<int>"
-    known = written(encoded_units(units, m, buckets).select(F.pmod(F.crc32(F.encode("unit", "utf-8")), F.lit(buckets)).cast("int").alias("bucket"), "unit", F.col("ids").cast(kind).alias("ids")), "pieces")
+    known = encoded_units(units, m, buckets // 4).select("bucket", "unit", F.col("ids").cast(kind).alias("ids"))
 
     def placed(d: pa.Table, e: pa.Table) -> pa.Table:
         ids = dict(zip(e.column("unit").to_pylist(), e.column("ids").to_pylist(), strict=True))
@@ -416,7 +426,7 @@ def _assembled(b: pa.Table, p: pa.Table) -> tuple:
         base += len(own)
     pool = np.concatenate(pool)
     docs, hashes, lengths = (np.frombuffer(b.column(c)[0].as_py(), d) for c, d in (("docs", "<i8"), ("hashes", np.uint64), ("lengths", "<i8")))
-    codes = np.frombuffer(un(b.column("codes")[0].as_py()), "<u4")
+    codes = _unplaned(un(b.column("codes")[0].as_py()))
     ends = np.concatenate([[0], np.cumsum(lengths)])
     return docs, hashes, codes, ends, size, start, pool
 
