@@ -1,12 +1,23 @@
-"""Embedding near-duplicates by a forest of random-projection trees.
-
-``fit`` splits a bounded sample recursively: a node projects onto the difference
-of two random members and cuts at the median, and the members in a band around
-the cut go to both sides (spill). All vectors are routed down every tree; a leaf
-splits its own rows further the same way until they are few, compares all of
-them by cosine in double precision and keeps pairs at or above the threshold. So
-every pair returned is verified; a pair is missed only if each tree parts it
-outside the spill bands. Pairs of all trees are united.
+"""Embedding near-duplicates by random-projection trees that part no link.
+
+Unit vectors whose cosine is ``least`` or more differ by at most
+sqrt(2 - 2 * least) on any axis. ``fit`` splits a bounded sample recursively: a node
+projects onto the difference of two random members, and what lies within half that
+length of the cut goes to both sides. So both ends of a link share a leaf, whatever
+the sample was. Of the cuts tried the one with least pairs to compare is taken, a
+node that none makes cheaper stays whole, and of ``trees`` trees the cheapest is
+used. All vectors are routed down it. A leaf is dealt by a hash into blocks of
+about ``block_rows`` rows, and each pair of blocks is a task that compares all rows
+of one with all of the other. Cosines that single precision leaves in doubt are
+computed again in double precision. No link is missed and none is made up.
+
+A pair in several leaves counts in one: a row's mask has a bit for each right turn
+of its path at which the row also went left, and a pair with a common bit belongs
+to a leaf further left. Pairs are not stored: a task gives each of its rows the
+number of its links and one edge to its local component.
+
+What a tree can't split costs the square of its rows: vectors spread evenly over
+many dimensions are all compared with each other.
 
 Vectors with equal components are one class beforehand, so a vector that a third
 of all rows share costs one row. The sample (``sample_rows``, in the order of a
@@ -28,86 +39,157 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import trimmed, trimmed_stream, written
 from foliant.llm.graph import components
 
 
+#: Rows of one side that are compared at a time.
+STEP = 512
+#: Most bytes of a block's vectors.
+BLOCK_BYTES = 16 << 20
+
+
 @dataclass
 class Node:
     axis: np.ndarray
     cut: float
-    band: float
     left: Node | int
     right: Node | int
 
 
-def split(x: np.ndarray, rng: np.random.Generator, spill: float) -> tuple[np.ndarray, float, float, np.ndarray, np.ndarray] | None:
-    """(axis, cut, band, left, right) of a random cut; None if none gets on."""
+def half_band(least: float) -> float:
+    """Half of the most by which the ends of a link differ on an axis."""
+    return float(np.sqrt(max(0.0, 2 - 2 * least))) / 2 + 1e-9
+
+
+def split(x: np.ndarray, rng: np.random.Generator, band: float) -> tuple[np.ndarray, float] | None:
+    """(axis, cut) of the random cut with least pairs to compare; None if none gets on."""
+    best, found = 0.8 * len(x) ** 2, None
     for _ in range(8):
         i, j = rng.choice(len(x), 2, replace=False)
         axis = x[i] - x[j]
-        if not (length := np.linalg.norm(axis)):
+        if not (length := np.linalg.norm(axis)) > 0:
             continue
-        p = x @ (axis / length)
-        cut = float(np.median(p))
-        band = float(np.quantile(np.abs(p - cut), spill))
-        left, right = np.flatnonzero(p <= cut + band), np.flatnonzero(p >= cut - band)
-        if max(len(left), len(right)) <= 0.8 * len(x):
-            return axis / length, cut, band, left, right
-    return None
-
-
-def grow(x: np.ndarray, rng: np.random.Generator, leaf: int, spill: float) -> Node | int:
-    """A tree over ``x``; its leaves are numbered from 0 by ``number``."""
-    if len(x) <= leaf or (s := split(x, rng, spill)) is None:
-        return -1
-    axis, cut, band, left, right = s
-    return Node(axis, cut, band, grow(x[left], rng, leaf, spill), grow(x[right], rng, leaf, spill))
-
-
-def number(t: Node | int, at: list[int]) -> Node | int:
-    if isinstance(t, Node):
-        t.left, t.right = number(t.left, at), number(t.right, at)
-        return t
-    at[0] += 1
-    return at[0] - 1
-
-
-def route(t: Node | int, x: np.ndarray, idx: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(leaf, rows) for every leaf that gets rows."""
+        p = np.sort(x @ (axis / length))
+        for cut in np.quantile(p, np.arange(1, 16) / 16):
+            left, right = np.searchsorted(p, cut + band, "right"), len(p) - np.searchsorted(p, cut - band)
+            if (work := float(left) ** 2 + float(right) ** 2) <= best:
+                best, found = work, (axis / length, float(cut))
+    return found
+
+
+def grow(x: np.ndarray, rng: np.random.Generator, leaf: int, band: float, sizes: list[int], depth: int = 60) -> Node | int:
+    """A tree over ``x``; its leaves are numbered in the order of ``sizes``, their rows."""
+    if len(x) <= leaf or not depth or (s := split(x, rng, band)) is None:
+        sizes.append(len(x))
+        return len(sizes) - 1
+    axis, cut = s
+    p = x @ axis
+    left = grow(x[p <= cut + band], rng, leaf, band, sizes, depth - 1)
+    return Node(axis, cut, left, grow(x[p >= cut - band], rng, leaf, band, sizes, depth - 1))
+
+
+def route(t: Node | int, x: np.ndarray, idx: np.ndarray, band: float, mask: np.ndarray, bit: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(leaf, rows, masks of rows) for every leaf that gets rows."""
     if not len(idx):
         return
     if not isinstance(t, Node):
-        yield t, idx
+        yield t, idx, mask
         return
     p = x[idx] @ t.axis
-    yield from route(t.left, x, idx[p <= t.cut + t.band])
-    yield from route(t.right, x, idx[p >= t.cut - t.band])
+    low, high = p <= t.cut + band, p >= t.cut - band
+    yield from route(t.left, x, idx[low], band, mask[low], bit)
+    yield from route(t.right, x, idx[high], band, mask[high] | low[high].astype(np.int64) << bit, bit + 1)
 
 
-def fit(sample: np.ndarray, trees: int = 10, leaf: int = 48, spill: float = 0.12, seed: int = 7) -> list[Node | int]:
-    return [number(grow(sample, np.random.default_rng((seed, k)), leaf, spill), [0]) for k in range(trees)]
+def fit(sample: np.ndarray, least: float, trees: int = 10, leaf: int = 48, seed: int = 7) -> tuple[Node | int, list[int]]:
+    """The tree with least pairs to compare, and the sample's rows in its leaves."""
+    grown = []
+    for k in range(trees):
+        sizes: list[int] = []
+        grown.append((grow(sample, np.random.default_rng((seed, k)), leaf, half_band(least), sizes), sizes))
+    return min(grown, key=lambda g: sum(n * n for n in g[1]))
 
 
-def pairs_in(x: np.ndarray, least: float, rng: np.random.Generator, few: int, spill: float, idx: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """Pairs of rows at or above the cosine, by further splits until few rows are left."""
-    idx = np.arange(len(x)) if idx is None else idx
-    own = x[idx]
-    if len(idx) > few and (s := split(own, rng, spill)) is not None:
-        for side in s[3:]:
-            yield from pairs_in(x, least, rng, few, spill, idx[side])
-        return
-    for at in range(0, len(idx), 1024):
-        i, j = np.nonzero(own[at : at + 1024] @ own.T >= least - 1e-9)
-        i += at
-        some = i < j
-        i, j = idx[i[some]], idx[j[some]]
-        yield np.stack([i, j], 1)
+def blocks_of(seen: int, sampled: int, total: int, rows: int) -> int:
+    """Blocks of a leaf with ``seen`` of ``sampled`` rows, so that they rarely exceed ``rows``."""
+    most = seen if sampled >= total else total * min(1.0, (seen + 3 * seen**0.5 + 9) / sampled)
+    return max(1, -int(-most // rows))
+
+
+@dataclass
+class Block:
+    ids: np.ndarray
+    copies: np.ndarray
+    mask: np.ndarray
+    raw: np.ndarray
+
+    def __post_init__(self):
+        self.norm = np.linalg.norm(self.raw, axis=1)
+        self.unit = (self.raw / self.norm[:, None]).astype(np.float32)
+
+
+def _weigh(link: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Copies that each row of ``link`` points at."""
+    many = copies > 1
+    more = link[:, many].astype(np.float64) @ (copies[many] - 1.0)
+    return np.count_nonzero(link, axis=1) + more.astype(np.int64)
+
+
+def links_between(a: Block, b: Block, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, links, id of a row of the same component) of the rows of two blocks, or
+    of one that is passed twice, that have links there."""
+    same = a is b
+    ids = a.ids if same else np.concatenate([a.ids, b.ids])
+    off = 0 if same else len(a.ids)
+    n, up = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    doubt = a.raw.shape[1] * 1.2e-7 + 1e-6
+    masked = bool(a.mask.any() and b.mask.any())
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            k = int(up[k])
+        return k
+
+    for at in range(0, len(a.ids), STEP):
+        to = at if same else 0
+        cos = a.unit[at : at + STEP] @ b.unit[to:].T
+        link = cos >= least - doubt
+        if same:
+            link &= ~np.tri(*link.shape, dtype=bool)
+        rows = np.flatnonzero(link.any(1))
+        if not len(rows):
+            continue
+        link, cos = link[rows], cos[rows]
+        i, j = np.nonzero(link & (cos < least + doubt))
+        for k in range(0, len(i), 1 << 14):
+            p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            x, y = rows[p] + at, q + to
+            link[p, q] = np.einsum("ij,ij->i", a.raw[x], b.raw[y]) / (a.norm[x] * b.norm[y]) >= least
+        if masked:
+            link &= (a.mask[at + rows][:, None] & b.mask[to:][None, :]) == 0
+        n[at + rows] += _weigh(link, b.copies[to:])
+        n[off + to :] += _weigh(link.T, a.copies[at + rows])
+        for r, own in zip((at + rows).tolist(), link, strict=True):
+            near = np.flatnonzero(own) + off + to
+            if not len(near):
+                continue
+            least_up, over = top(r), up[near]
+            if (over != least_up).any():
+                tops = [least_up, *(top(k) for k in np.unique(over).tolist())]
+                least_up = min(tops)
+                up[tops] = least_up
+                up[near] = least_up
+                up[r] = least_up
+    while (up[up] != up).any():
+        up = up[up]
+    some = n > 0
+    return ids[some], n[some], ids[up[some]]
 
 
 def unit(rows: list) -> np.ndarray:
     """Unit vectors of rows of one length."""
-    x = np.array(rows, np.float64)
+    x = np.asarray(rows, np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -118,65 +200,74 @@ def valid(vector: str = "vector"):
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda c: c != 0), F.lit(False))
 
 
-def near_pairs(reps: DataFrame, least: float, trees: int, few: int, spill: float, sample_rows: int) -> DataFrame:
-    """Pairs (a, b) of ``reps`` (rep, vector) with a cosine of ``least`` or more."""
+def near(reps: DataFrame, least: float, trees: int, few: int, sample_rows: int, block_rows: int) -> DataFrame:
+    """(node, n, root): links of the rows of ``reps`` (rep, copies, vector) with a
+    cosine of ``least`` or more, each in one of a node's rows, and edges to ``root``
+    that make the same components."""
+    total = reps.count()
     sample = reps.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample_rows).collect()
     by_length: dict[int, list] = {}
     for r in sample:
         by_length.setdefault(len(r["vector"]), []).append(r["vector"])
-    forests = {n: fit(unit(v), trees, spill=spill) for n, v in by_length.items()}
-    forest = reps.sparkSession.sparkContext.broadcast(forests)
+    exact32 = reps.schema["vector"].dataType.elementType.simpleString() == "float"
+    kind = np.float32 if exact32 else np.float64
+    leaf = max(2, few * len(sample) // max(1, total))
+    size = lambda n: max(1, min(block_rows, BLOCK_BYTES // (n * np.dtype(kind).itemsize)))
+    fitted = {n: fit(unit(v), least, trees, leaf=max(48, leaf) if total > len(sample) else leaf) for n, v in by_length.items()}
+    forest = reps.sparkSession.sparkContext.broadcast({n: (t, [blocks_of(k, len(sample), total, size(n)) for k in sizes]) for n, (t, sizes) in fitted.items()})
+    band, sampled = half_band(least), len(sample)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            vectors = b.column(1)
+            ids, copies = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            vectors = b.column(2)
             length = np.diff(vectors.offsets.to_numpy())
-            out: dict[str, list] = {"tree": [], "leaf": [], "dim": [], "ids": [], "rows": []}
+            out: dict[str, list] = {"dim": [], "leaf": [], "one": [], "two": [], "block": [], "ids": [], "copies": [], "masks": [], "rows": []}
             for n in np.unique(length):
                 at = np.flatnonzero(length == n)
                 flat = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
-                raw = flat.reshape(-1, n).astype(np.float64)
-                x = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-                for k, t in enumerate(forest.value.get(int(n), [0] * trees)):
-                    for leaf, idx in route(t, x, np.arange(len(x))):
-                        for name, v in zip(out, (k, leaf, n, ids[at[idx]].tobytes(), raw[idx].astype(np.float32).tobytes() if exact32 else raw[idx].tobytes()), strict=True):
-                            out[name].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["tree"], pa.int32()), pa.array(out["leaf"], pa.int32()), pa.array(out["dim"], pa.int32()), pa.array(out["ids"], pa.binary()), pa.array(out["rows"], pa.binary())], names=list(out))
-
-    exact32 = reps.schema["vector"].dataType.elementType.simpleString() == "float"
-    kind = np.float32 if exact32 else np.float64
+                raw = flat.reshape(-1, n).astype(kind)
+                tree, blocks = forest.value.get(int(n)) or (0, [blocks_of(0, sampled, total, size(int(n)))])
+                for leaf, idx, mask in route(tree, unit(raw), np.arange(len(raw)), band, np.zeros(len(raw), np.int64)):
+                    k = blocks[leaf]
+                    to = (((ids[at[idx]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
+                    for own in np.unique(to).tolist():
+                        some = to == own
+                        rows = idx[some]
+                        data = (own, ids[at[rows]].tobytes(), copies[at[rows]].tobytes(), mask[some].tobytes(), raw[rows].tobytes())
+                        for other in range(k):
+                            for name, v in zip(out, (int(n), leaf, min(own, other), max(own, other), *data), strict=True):
+                                out[name].append(v)
+            kinds = [pa.int32()] * 5 + [pa.binary()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     def compared(t: pa.Table) -> pa.Table:
-        n = t.column("dim")[0].as_py()
-        ids = np.frombuffer(b"".join(t.column("ids").to_pylist()), np.int64)
-        raw = np.frombuffer(b"".join(t.column("rows").to_pylist()), kind).reshape(-1, n).astype(np.float64)
-        order = np.argsort(ids)
-        ids, raw = ids[order], raw[order]
-        norm = np.linalg.norm(raw, axis=1)
-        rng = np.random.default_rng((t.column("tree")[0].as_py(), t.column("leaf")[0].as_py()))
-        found = [np.zeros((0, 2), np.int64), *pairs_in(raw / norm[:, None], least, rng, few, spill)]
-        ij = np.unique(np.concatenate(found), axis=0)
-        cos = np.einsum("ij,ij->i", raw[ij[:, 0]], raw[ij[:, 1]]) / (norm[ij[:, 0]] * norm[ij[:, 1]])
-        ij = ids[ij[cos >= least]]
-        return pa.table({"a": pa.array(ij[:, 0], pa.int64()), "b": pa.array(ij[:, 1], pa.int64())})
-
-    dealt = reps.select("rep", "vector").mapInArrow(routed, "tree int, leaf int, dim int, ids binary, rows binary")
-    return dealt.groupBy("dim", "tree", "leaf").applyInArrow(compared, "a long, b long").distinct()
-
-
-def linked(df: DataFrame, least: float = 0.95, trees: int = 10, few: int = 400, spill: float = 0.12, sample_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+        dim, one, two = (t.column(c)[0].as_py() for c in ("dim", "one", "two"))
+        own = t.column("block").to_numpy()
+
+        def block(k: int) -> Block:
+            some = t.filter(pa.array(own == k))
+            ids, copies, mask = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.int64) for c in ("ids", "copies", "masks"))
+            return Block(ids, copies, mask, np.frombuffer(b"".join(some.column("rows").to_pylist()), kind).reshape(-1, dim).astype(np.float64))
+
+        a = block(one)
+        found = links_between(a, a if one == two else block(two), least)
+        return pa.table([pa.array(c, pa.int64()) for c in found], names=["node", "n", "root"])
+
+    dealt = reps.select("rep", "copies", "vector").mapInArrow(trimmed_stream(routed), "dim int, leaf int, one int, two int, block int, ids binary, copies binary, masks binary, rows binary")
+    return dealt.groupBy("dim", "leaf", "one", "two").applyInArrow(trimmed(compared), "node long, n long, root long")
+
+
+def linked(df: DataFrame, least: float = 0.95, trees: int = 10, few: int = 400, sample_rows: int = 8192, block_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).withColumn("ok", valid())
     rows = written(rows, "vectors")
     named = rows.filter("ok").groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     # Classes are numbered by their least id; those of null ids alone by a hash, below all ids.
     reps = written(named.withColumn("rep", F.coalesce("first", -F.abs(F.xxhash64("vector")) - 1)), "vector_classes")
-    pairs = written(near_pairs(reps, least, trees, few, spill, sample_rows), "vector_pairs")
-    copies = reps.select("rep", "copies")
-    both = pairs.union(pairs.select("b", "a"))
-    others = both.join(copies, both.b == copies.rep).groupBy("a").agg(F.sum("copies").alias("others"))
-    comp = components(pairs, what="vector_components")
+    found = written(near(reps, least, trees, few, sample_rows, block_rows), "vector_links")
+    others = found.groupBy(F.col("node").alias("a")).agg(F.sum("n").alias("others"))
+    comp = components(found, "node", "root", what="vector_components")
     facts = reps.join(others, reps.rep == others.a, "left").join(comp, reps.rep == comp.node, "left").select(F.col("vector").alias("_v"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
     out = rows.filter("ok").join(facts, F.col("vector") == F.col("_v")).select("vec_id", "n", "component")
     out = out.unionByName(rows.filter("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component")))

@@ -69,6 +69,48 @@ def test_links_against_brute_force(spark):
     assert got[1006].component_id == got[1007].component_id == 1006 and got[1000].kept and not got[1007].kept
 
 
+def _near(x):
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    return near
+
+
+def _tops(near):
+    """The least row of each row's component."""
+    top = np.arange(len(near))
+    while (now := np.minimum(top, np.where(near, top, len(top)).min(1))).tolist() != top.tolist():
+        top = now
+    return top
+
+
+@pytest.mark.parametrize(("n", "group", "dims"), [(4000, 1000, 64), (3000, 1000, 64), (2500, 300, 3)])
+def test_no_link_of_a_large_group_is_lost(spark, n, group, dims):
+    """Groups of near and unequal vectors, whole in one node, over several blocks
+    and, in few dimensions, over many leaves."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, dims))
+    x[:group] = x[0] / np.linalg.norm(x[0]) + 0.2 / dims**0.5 * rng.normal(size=(group, dims))
+    x = np.concatenate([x, x[:5]])[rng.permutation(n + 5)].astype(np.float32)
+    near = _near(x)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "z") for i, v in enumerate(x)], VECTORS)
+    for more in ({}, {"few": 100, "sample_rows": 500, "block_rows": 700} if dims > 3 else {"few": 100, "block_rows": 60}):
+        got = {r.vec_id: r for r in rp_forest.linked(df, **more).collect()}
+        assert [got[i].n_links for i in range(len(x))] == near.sum(1).tolist()
+        assert [got[i].component_id for i in range(len(x))] == _tops(near).tolist()
+
+
+def test_a_tree_in_few_dimensions_splits():
+    x = rp_forest.unit(np.random.default_rng(1).normal(size=(3000, 3)))
+    tree, sizes = rp_forest.fit(x, 0.95)
+    leaves = list(rp_forest.route(tree, x, np.arange(3000), rp_forest.half_band(0.95), np.zeros(3000, np.int64)))
+    assert len(leaves) > 4 and [len(i) for _, i, _ in leaves] == sizes
+    counted = np.zeros((3000, 3000), int)
+    for _, i, mask in leaves:
+        counted[np.ix_(i, i)] += (mask[:, None] & mask[None, :]) == 0
+    assert (counted[_near(x)] == 1).all()
+
+
 def test_no_vectors(spark):
     assert rp_forest.linked(spark.createDataFrame([], VECTORS)).count() == 0
 
