@@ -19,8 +19,9 @@ connect, so components lose no link while near copies never make all pairs.
 
 Defined results: a document without words has size 0 and links with nothing
 (component: itself); fewer words than ``n`` are one n-gram; null ids get a size
-and a null component; repeated rows are kept; of an id's different texts the one
-of the least digest makes links for all; other columns are ignored.
+and a null component; repeated rows are kept; all texts of an id make links, so an
+id with different texts ties their components and has one in all its rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -270,22 +271,23 @@ def _multiplied(t: pa.Table, percent: int) -> pa.Table:
 PAIR = "a long, b long"
 
 
-def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int, standing: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose overlap makes a link."""
+def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose overlap makes a link."""
     pairs = written(pairs.distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    some = docs.join(nodes, docs.doc_id == nodes.doc, "left_semi").select("doc_id", "text")
+    nodes = written(nodes.join(reps, nodes.doc == reps["class"]).select("doc", "rep", "digest"), "nodes")
+    some = docs.join(nodes, docs.doc_id == nodes.rep, "left_semi").select("doc_id", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
             for texts in slices(b.column(1), SLICE):
                 sets = [r.tobytes() for r in rows_of(texts, n)]
-                yield pa.RecordBatch.from_pydict({"doc": b.column(0).slice(at, len(texts)).cast(pa.int64()), "digest": pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), "row": pa.array(sets, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"rep": b.column(0).slice(at, len(texts)).cast(pa.int64()), "digest": pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), "row": pa.array(sets, pa.binary())})
                 at += len(texts)
 
-    sets = some.mapInArrow(trimmed_stream(rows), "doc long, digest binary, row binary")
-    sets = written(sets.join(standing, ["doc", "digest"], "left_semi").drop("digest"), "rows")
+    sets = some.mapInArrow(trimmed_stream(rows), "rep long, digest binary, row binary")
+    sets = written(sets.join(nodes, ["rep", "digest"]).select("doc", "row"), "rows")
     part = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("k") / CHUNK))).cast("long")
     sized = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("k")), "a").select("a", "b", part.alias("part"))
     heads = sized.select("a", "part").distinct()
@@ -303,11 +305,11 @@ def clustered(docs: DataFrame, n: int = 3, percent: int = 90, buckets: int | Non
     if buckets is None:
         buckets = max(32, rows.count() // 3000)
     named = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    # The rows that take part: one of each class, one of each id.
-    standing = reps.groupBy("rep").agg(F.min("digest").alias("digest")).select(F.col("rep").alias("doc"), "digest")
+    # Classes get numbers, as an id may carry texts of several; from here to the names
+    # of components ``doc`` is the number of a class.
+    reps = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("class", F.monotonically_increasing_id()), "classes")
     least = bounds(percent)[0]
-    distinct = named.filter(F.col("n") >= least).withColumnRenamed("doc_id", "doc").join(standing, ["doc", "digest"], "left_semi")
+    distinct = named.filter(F.col("n") >= least).withColumnRenamed("doc_id", "rep").join(reps, ["rep", "digest"]).withColumnRenamed("class", "doc")
     entries = distinct.select("doc", "n", "sigs").mapInArrow(trimmed_stream(lambda b: _dealt(b, buckets, percent)), "bucket int, sig binary, doc binary, cls binary")
     groups = entries.groupBy("bucket").applyInArrow(trimmed(lambda t: _grouped(t)), "gid long, cls int, chunk long, doc long")
     groups = written(groups.dropDuplicates(["gid", "doc"]), "groups")
@@ -320,15 +322,21 @@ def clustered(docs: DataFrame, n: int = 3, percent: int = 90, buckets: int | Non
     heads = members.filter("chunk = 0").groupBy("gid").agg(F.min_by(F.struct("doc", "n", "sketch"), "doc").alias("h"))
     others = members.filter("chunk > 0").select("gid", "chunk").distinct()
     led = members.unionByName(others.join(heads, "gid").select("gid", "chunk", "h.doc", "h.n", "h.sketch"))
-    first = linked(led.groupBy("gid", "chunk").applyInArrow(trimmed(lambda t: _led(t, percent)), PAIR), docs, n, percent, standing)
+    first = linked(led.groupBy("gid", "chunk").applyInArrow(trimmed(lambda t: _led(t, percent)), PAIR), docs, n, percent, reps)
     comp = written(components(first), "components")
     label = members.join(comp, members.doc == comp.node, "left").select("gid", "doc", "n", "sketch", F.coalesce("component", "doc").alias("component"))
     mixed = label.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("gid")
     apart = label.join(mixed, "gid", "left_semi").groupBy("gid").applyInArrow(trimmed(lambda t: _apart(t, percent)), PAIR)
-    second = linked(apart, docs, n, percent, standing)
+    second = linked(apart, docs, n, percent, reps)
+    carried = written(named.select("doc_id", "digest").join(reps, "digest").select("doc_id", "class", "rep").distinct(), "carried")
+    ids = carried.groupBy("doc_id").agg(F.min("class").alias("class"), F.min("rep").alias("rep"), F.count("*").alias("k"))
+    several = ids.filter("k > 1").select(F.col("doc_id").alias("_id"), F.col("class").alias("_least"))
+    tied = carried.join(several, F.col("doc_id") == F.col("_id")).filter("class <> _least").select("_least", "class")
     # The components stand for the links of the first round.
-    comp = components(second.union(comp.select("node", "component")))
-    ends = rows.select("doc_id", "n", "digest").join(reps.withColumnRenamed("digest", "_d"), F.col("digest") == F.col("_d"), "left")
-    out = ends.join(comp, F.col("rep") == F.col("node"), "left")
-    named_by = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    comp = written(components(second.union(comp.select("node", "component")).union(tied)), "components")
+    names = comp.join(reps, comp.node == reps["class"]).groupBy("component").agg(F.min("rep").alias("name"))
+    comp = comp.join(names, "component").select("node", "name")
+    of_id = ids.join(comp, ids["class"] == comp.node, "left").select(F.col("doc_id").alias("_id"), F.coalesce("name", "rep").alias("name"))
+    out = rows.select("doc_id", "n").join(of_id, F.col("doc_id") == F.col("_id"), "left")
+    named_by = F.when(F.col("doc_id").isNotNull(), F.coalesce("name", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), named_by.alias("component_id"))

@@ -106,6 +106,21 @@ def test_jaccard_components(docs, n, percent):
     assert sorted(rows_of(jaccard_join.clustered(docs, n, percent)), key=key) == want
 
 
+def test_jaccard_of_ids_with_different_texts(spark):
+    """Each text of an id makes its links, whichever of their digests is less, and
+    others keep theirs."""
+    rng = np.random.default_rng(11)
+    prose = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 120))
+    rows, want = [], []
+    for base in range(0, 600, 100):
+        one, two, alone = prose(), prose(), prose()
+        rows += [(base + 5, one), (base + 5, two), (base + 5, ""), (base + 5, two), (base + 9, two), (base + 10, two + " end"), (base + 20, one + " end"), (base + 30, alone), (base + 40, ""), (None, two)]
+        want += [(d, base + 5) for d in (5, 5, 5, 5, 9, 10, 20)] + [(30, base + 30), (40, base + 40), (None, None)]
+    want = [(d if d is None else d + 100 * (k // 10), c) for k, (d, c) in enumerate(want)]
+    got = jaccard_join.clustered(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id")
+    assert sorted(rows_of(got), key=key) == sorted(want, key=key)
+
+
 def test_jaccard_bounds_lose_no_pair():
     """Linked rows share a class, agree in a block and have near sketches."""
     rng = np.random.default_rng(3)
