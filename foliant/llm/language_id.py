@@ -6,7 +6,7 @@ dictionaries, in blocks so that a dictionary stays in reach throughout a long
 text, and takes the language with the smallest total. Ties go to the first name
 in alphabetical order. A narrow margin sets ``rejected``.
 
-Bounds of the fit (parameters): at most ``sample_rows`` texts and ``dict_bytes``
+Bounds of the fit (parameters): at most ``sample_rows`` different texts and ``dict_bytes``
 bytes a language, texts of ``sample_range`` bytes first, in the order of a hash
 of the text. Prediction reads every byte of every text.
 
@@ -39,10 +39,14 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
     picked = (
         labelled.select(F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
         .filter(F.col("_text").isNotNull() & F.col("_lang").isNotNull() & (size <= dict_bytes))
-        .withColumn("_order", F.struct(~size.between(*sample_range), F.xxhash64("_text"), F.col("_text")))
+        .withColumns({"_far": ~size.between(*sample_range), "_hash": F.xxhash64("_text")})
     )
-    first = Window.partitionBy("_lang").orderBy("_order")
-    rows = picked.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= sample_rows).select("_lang", "_rn", "_text").collect()
+    # Copies count once: the first hashes of a language, then the texts that have them.
+    first = Window.partitionBy("_lang").orderBy("_far", "_hash")
+    hashes = picked.select("_lang", "_far", "_hash").distinct().withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= sample_rows).drop("_rn")
+    texts = picked.join(F.broadcast(hashes), ["_lang", "_far", "_hash"], "left_semi").distinct()
+    last = Window.partitionBy("_lang").orderBy("_far", "_hash", "_text")
+    rows = texts.withColumn("_rn", F.row_number().over(last)).filter(F.col("_rn") <= sample_rows).select("_lang", "_rn", "_text").collect()
     out: dict[str, list[bytes]] = {}
     room: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: (r["_lang"], r["_rn"])):

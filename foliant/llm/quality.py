@@ -7,7 +7,7 @@ labeller's accuracy without a single true label. The patterns' posteriors then
 label a bounded sample on which a hashed linear scorer is trained; it scores
 every whole text.
 
-Bounds of the fit: ``sample_rows`` documents, in the order of a hash of the text,
+Bounds of the fit: ``sample_rows`` different texts, in the order of a hash of the text,
 of at most ``sample_bytes`` each, reach the driver. Votes, pattern counts and
 scores cover all documents.
 
@@ -229,11 +229,13 @@ def scored(docs: DataFrame, keep_at: float = 0.5, sample_rows: int = 6000, sampl
     patterns, counts = np.array(found, np.int64).reshape(-1, 2).T
     model = expectation_maximisation(list(LABELLERS), votes_in(patterns), counts)
     belief = dict(zip(patterns.tolist(), model.posterior(votes_in(patterns)).tolist(), strict=True))
-    # A range of the hash that holds about twice the sample, so that no task sends more.
-    share = min(1.0, 2 * sample_rows / max(1, int(counts.sum())))
+    # Copies count once: the first hashes, then the texts up to the last of them, so
+    # that no task sends more.
     order = F.xxhash64("_text")
-    some = docs.select(text).filter(F.octet_length("_text").between(1, sample_bytes) & (F.shiftrightunsigned(order, 32) < int(share * (1 << 32))))
-    sample = pa.array([r["_text"] for r in some.orderBy(order, "_text").limit(sample_rows).collect()], pa.string())
+    some = docs.select(text).filter(F.octet_length("_text").between(1, sample_bytes)).withColumn("_hash", order)
+    last = some.select("_hash").distinct().orderBy("_hash").limit(sample_rows).agg(F.max("_hash")).first()[0]
+    texts = some.filter(F.col("_hash") <= F.lit(last).cast("long")).select("_text").distinct()
+    sample = pa.array([r["_text"] for r in texts.orderBy(order, "_text").limit(sample_rows).collect()], pa.string())
     labels = np.array([belief[p] for t in _sliced(sample) for p in pattern_of(votes_of(t, Words.of(t))).tolist()])
     w = spark.sparkContext.broadcast(train(sample.to_pylist(), labels))
 

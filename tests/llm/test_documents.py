@@ -233,6 +233,20 @@ def test_quality_model(spark, odd_docs, no_docs):
     assert quality.scored(no_docs)[0].count() == 0
 
 
+def test_samples_hold_different_texts(spark, monkeypatch):
+    """Copies fill neither a language's dictionary nor the scorer's sample."""
+    texts = [" ".join(f"{chr(97 + i)}{chr(97 + j)}{w}" for w in ("river", "stone", "cloud") * 40) for i in range(6) for j in range(10)]
+    docs = spark.createDataFrame([(i, t, lang) for i, t in enumerate(texts) for lang in ("en", "de") for _ in range(30)], "doc_id long, text string, lang string")
+    for data in language_id.fit(docs, sample_rows=20).values():
+        parts = data.split(b"\n")
+        assert len(parts) == len(set(parts)) == 20 and {p.decode() for p in parts} <= set(texts)
+    seen = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda t, labels: seen.extend(t) or train(t, labels))
+    quality.scored(docs, sample_rows=20)
+    assert len(seen) == len(set(seen)) == 20
+
+
 def test_rollup_commits_once(spark, odd_docs, no_docs):
     store = token_rollup.Rollup(spark, scratch(spark, "rollup"))
     add = odd_docs.select(F.lit("insert").alias("op"), "source", "lang", F.lit("v1").alias("tokenizer"), F.col("n_chars").alias("n_tokens"), "kept")
