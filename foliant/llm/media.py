@@ -2,13 +2,16 @@
 
 ``pack`` stores bytes losslessly as 8-bit unsigned PCM samples of one audio
 track. ``probe`` walks the nested boxes of any container, decodes the sample
-tables (``stsd stts stsz/stz2 stsc stco/co64 stss``) and yields codec, duration
-and the byte ranges of the key frames; payload bytes are never decoded.
+tables (``stsd stts stsz/stz2 stsc stco/co64 stss``) and the runs of movie fragments
+(``trex tfhd trun``) and yields codec, duration and the byte ranges of the key
+frames; payload bytes are never decoded.
 ``read_samples`` fetches the bytes of a track by those tables.
 
 Defined results: null or empty media, or bytes without a ``moov`` box, give a
 row with ``error`` set and null facts; a truncated box ends the walk of its
-parent; a track without ``stss`` has only key frames; adjoining key frames are
+parent; a fragment of an unknown track, or one whose sample sizes are nowhere told,
+sets ``error``; a fragmented track lasts as long as its samples; a track without
+``stss`` has only key frames, a fragment's are told by its flags; adjoining key frames are
 one byte range. Equal bytes give equal rows, repeated rows are kept, other
 columns pass through untouched, and names that clash with the output are
 overwritten.
@@ -101,6 +104,17 @@ class Track:
     count: int = 0
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     sync: np.ndarray | None = None
+    number: int = 0
+
+
+@dataclass
+class Run:
+    """Samples of a fragment that lie one behind the other."""
+
+    offset: int
+    sizes: np.ndarray
+    ticks: np.ndarray
+    sync: np.ndarray
 
 
 def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -132,7 +146,9 @@ def _ints(data: memoryview, at: int, end: int, n: int, kind: str = ">u4") -> np.
 
 def _leaf(kind: bytes, data: memoryview, at: int, end: int, t: Track) -> None:
     word = lambda o, f=">I": struct.unpack_from(f, data, at + o)[0]
-    if kind == b"mdhd":
+    if kind == b"tkhd":
+        t.number = word(20 if data[at] == 1 else 12)
+    elif kind == b"mdhd":
         wide = data[at] == 1
         t.timescale = word(20 if wide else 12)
         t.duration = word(24, ">Q") if wide else word(16)
@@ -161,14 +177,90 @@ def _leaf(kind: bytes, data: memoryview, at: int, end: int, t: Track) -> None:
         t.sync = _ints(data, at + 8, end, word(4)) - 1
 
 
+def _runs(data: memoryview, at: int, end: int, head: int, base: int, trex: dict[int, tuple]) -> tuple[int, list[Run], int, int]:
+    """(track, runs, end of their bytes, ticks without samples) of a ``traf`` box in a
+    ``moof`` box at ``head``; ``base`` is where the bytes of the one before end."""
+    number, ticks, size, flags, empty, out = None, None, None, None, 0, []
+    for kind, a, stop in boxes(data, at, end):
+        if kind not in (b"tfhd", b"trun"):
+            continue
+        if stop - a < 8:
+            raise MediaError("a box is too short")
+        has, a, box = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF, a + 8, a
+        if kind == b"tfhd":
+            number = struct.unpack_from(">I", data, box + 4)[0]
+            given = {}
+            for bit, form in ((1, ">Q"), (2, ">I"), (8, ">I"), (16, ">I"), (32, ">I")):
+                if has & bit:
+                    given[bit] = int(_ints(data, a, stop, 1, form.replace(">I", ">u4").replace(">Q", ">u8"))[0])
+                    a += struct.calcsize(form)
+            usual = trex.get(number, (0, None, 0))
+            ticks, size, flags = given.get(8, usual[0]), given.get(16, usual[1]), given.get(32, usual[2])
+            base = given.get(1, head if has & 0x20000 else base)
+            begin = base
+            empty = ticks if has & 0x10000 else 0
+        else:
+            if number is None:
+                raise MediaError("a trun box without a tfhd box")
+            n, first = struct.unpack_from(">I", data, box + 4)[0], None
+            if has & 1:
+                base = begin + int(_ints(data, a, stop, 1, ">i4")[0])
+                a += 4
+            if has & 4:
+                first = int(_ints(data, a, stop, 1)[0])
+                a += 4
+            width = [bit for bit in (0x100, 0x200, 0x400, 0x800) if has & bit]
+            if not width and n > len(data):
+                raise MediaError("a run names more samples than there are bytes")
+            fields = dict(zip(width, _ints(data, a, stop, n * len(width)).reshape(n, len(width)).T, strict=True)) if width else {}
+            if 0x200 not in fields and size is None:
+                raise MediaError("a fragment's sample sizes are not told")
+            kinds = fields.get(0x400, np.full(n, flags, np.int64))
+            if first is not None and n and 0x400 not in fields:
+                kinds[0] = first
+            sizes = fields.get(0x200, np.full(n, size or 0, np.int64))
+            if n:
+                out.append(Run(base, sizes, fields.get(0x100, np.full(n, ticks, np.int64)), kinds & 0x10000 == 0))
+            base += int(sizes.sum())
+    if number is None:
+        raise MediaError("a traf box without a tfhd box")
+    return number, out, base, empty
+
+
+def _join(t: Track, runs: list[Run], empty: int) -> None:
+    """Adds the runs of fragments to a track's tables, a chunk each."""
+    chunks, n = len(t.offsets), t.count
+    sizes = np.full(n, t.size, np.int64) if t.sizes is None else t.sizes
+    sync = np.arange(n) if t.sync is None else t.sync
+    t.sizes = np.concatenate([sizes, *(r.sizes for r in runs)])
+    t.offsets = np.concatenate([t.offsets, np.array([r.offset for r in runs], np.int64)])
+    t.stsc = np.concatenate([t.stsc, np.array([(chunks + k + 1, len(r.sizes), 1) for k, r in enumerate(runs)], np.int64).reshape(-1, 3)])
+    t.sync = np.concatenate([sync, n + np.flatnonzero(np.concatenate([np.zeros(0, bool), *(r.sync for r in runs)]))])
+    t.size, t.count = 0, len(t.sizes)
+    spans = np.concatenate([np.zeros(0, np.int64), *(r.ticks for r in runs)])
+    t.stts = np.concatenate([t.stts, np.stack([np.ones(len(spans), np.int64), spans], 1), np.array([(1, empty)] * (empty > 0), np.int64).reshape(-1, 2)])
+    # The header's duration leaves fragments out or not; the samples' own is whole.
+    t.duration = 0
+
+
 def tracks(media: bytes) -> list[Track]:
-    """The tracks of a container, from its ``moov`` box alone."""
+    """The tracks of a container, from its ``moov`` and ``moof`` boxes."""
     data, out = memoryview(media), []
+    trex: dict[int, tuple] = {}
+    moofs: list[tuple[int, list[tuple[int, int]]]] = []
 
     def walk(start: int, end: int, t: Track | None, depth: int) -> bool:
-        seen = False
+        seen, head = False, start
         for kind, at, stop in boxes(data, start, end):
-            if kind in CONTAINERS and depth < MAX_DEPTH:
+            if kind == b"moof":
+                moofs.append((head, []))
+            head = stop
+            if kind == b"traf" and moofs:
+                moofs[-1][1].append((at, stop))
+            elif kind == b"trex":
+                number, _, *usual = struct.unpack_from(">5I", data, at + 4)
+                trex[number] = tuple(usual)
+            elif kind in CONTAINERS and depth < MAX_DEPTH:
                 seen |= kind == b"moov"
                 own = Track() if kind == b"trak" else t
                 walk(at + CONTAINERS[kind], stop, own, depth + 1)
@@ -181,6 +273,18 @@ def tracks(media: bytes) -> list[Track]:
     try:
         if not walk(0, len(data), None, 0):
             raise MediaError("no moov box")
+        found: dict[int, tuple[list[Run], list[int]]] = {}
+        for head, trafs in moofs:
+            base = head
+            for at, stop in trafs:
+                number, runs, base, empty = _runs(data, at, stop, head, base, trex)
+                had = found.setdefault(number, ([], []))
+                had[0].extend(runs)
+                had[1].append(empty)
+        for number, (runs, empty) in found.items():
+            if not (own := [t for t in out if t.number == number]):
+                raise MediaError("a fragment names a track that isn't there")
+            _join(own[0], runs, sum(empty))
     except struct.error as e:
         raise MediaError("a box is too short") from e
     return out

@@ -44,6 +44,40 @@ def test_probe_of_broken_media(bad):
     assert media.probe_bytes(bad)["error"]
 
 
+def _fragmented(number=1, trex=True):
+    """Two fragments of a track whose own tables are empty: defaults of trex, of tfhd
+    and of samples; a run placed by the moof box, one that follows, one placed by the file."""
+    pack, full, box = struct.pack, media._full, media._box
+    stbl = box(b"stbl", full(b"stsd", pack(">I", 1), box(b"avc1", bytes(78))), *(full(k, bytes(4)) for k in (b"stts", b"stsc", b"stco")), full(b"stsz", bytes(8)))
+    mdia = box(b"mdia", full(b"mdhd", pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), full(b"hdlr", bytes(4), b"vide", bytes(13)), box(b"minf", stbl))
+    mvex = box(b"mvex", full(b"trex", pack(">5I", 1, 1, 40, 3, 0x10000))) if trex else b""
+    head = box(b"ftyp", b"isom", bytes(4)) + box(b"moov", box(b"trak", full(b"tkhd", pack(">IIII", 0, 0, 1, 0)), mdia), mvex)
+
+    def first(to):
+        runs = full(b"trun", pack(">IiI", 3, to, 0), flags=5), full(b"trun", pack(">IIIII", 2, 50, 4, 60, 2), flags=0x300)
+        return box(b"moof", box(b"traf", full(b"tfhd", pack(">I", number), flags=0x20000), *runs))
+
+    at = len(head)
+    one = first(len(first(0)) + 8) + box(b"mdat", b"KKKpppppp" + b"qqqqrr")
+    base = at + len(first(0)) + 8
+    second = lambda where: box(b"moof", box(b"traf", full(b"tfhd", pack(">IQII", number, where, 5, 0), flags=0x31), full(b"trun", pack(">I", 2))))
+    where = at + len(one) + len(second(0)) + 8
+    return head + one + second(where) + box(b"mdat", b"k" * 10), base, where
+
+
+def test_probe_reads_fragments():
+    data, base, where = _fragmented()
+    facts = media.probe_bytes(data)
+    assert facts["error"] is None and (facts["codec"], facts["n_samples"], facts["duration_s"]) == ("avc1", 7, (3 * 40 + 50 + 60 + 2 * 40) / 1000)
+    assert facts["keyframes"] == [{"offset": base, "length": 3}, {"offset": where, "length": 10}]
+    assert media.read_samples(data, media.tracks(data)[0]) == b"KKKppppppqqqqrr" + b"k" * 10
+
+
+@pytest.mark.parametrize("bad", [{"number": 2}, {"trex": False}])
+def test_probe_of_fragments_without_their_track_or_sizes(bad):
+    assert media.probe_bytes(_fragmented(**bad)[0])["error"]
+
+
 def test_media_columns(spark):
     df = spark.createDataFrame([(1, bytearray(media.padded(b"abc")), "x"), (2, None, "y"), (1, bytearray(media.padded(b"abc")), "x")], "id int, payload binary, codec string")
     got = media.with_probe(media.with_pack(df)).orderBy("id").collect()
