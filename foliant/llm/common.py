@@ -5,6 +5,10 @@ from __future__ import annotations
 import ctypes
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    A session without that setting (tests) gets a folder below the warehouse.
+    A session without that setting (tests) gets a folder below the warehouse; one
+    whose master has executors of its own must name the folder.
     """
-    small_batches(spark)
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
@@ -33,13 +39,56 @@ def shared_dir(spark: SparkSession) -> str:
 #: Rows of an Arrow batch. Texts are long; Spark's own 10,000 would hold tens of MB
 #: in each of several copies.
 BATCH_ROWS = 2000
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds of a partition at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+@contextmanager
+def settings(spark: SparkSession, **options: str) -> Iterator[None]:
+    """Options of the session while an operator runs; those before come back."""
+    before = {k: spark.conf.get(k, None) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    """Deletes a folder of any Hadoop file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_rooms: ContextVar[tuple[str, ...]] = ContextVar("rooms", default=())
+
+
+def finished(what: str, **options: str):
+    """For functions from a DataFrame (first argument) to one: runs with small Arrow
+    batches and ``options``, writes the result once, and deletes all that was written
+    on the way to it."""
+
+    def around(f):
+        @wraps(f)
+        def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+            spark = df.sparkSession
+            room = scratch(spark, f"room-{what}")
+            with settings(spark, **SMALL_BATCHES, **options):
+                token = _rooms.set((*_rooms.get(), room))
+                try:
+                    out = f(df, *args, **kwargs)
+                    _rooms.reset(token)
+                    token = None
+                    return written(out, what)
+                finally:
+                    if token is not None:
+                        _rooms.reset(token)
+                    delete(spark, room)
+
+        return run
+
+    return around
 
 
 def trim() -> None:
@@ -84,13 +133,14 @@ def trimmed_stream(f):
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; within ``finished`` one that goes at its end."""
+    rooms = _rooms.get()
+    return f"{rooms[-1] if rooms else shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written once to the shared folder and read again: cuts lineage and
-    survives the loss of any executor."""
+    survives the loss of any executor. Within ``finished`` the folder goes with it."""
     spark = df.sparkSession
     at = scratch(spark, what)
     df.write.parquet(at)

@@ -14,9 +14,10 @@ A BPE model has no path of best score: its pieces' scores are the order of
 merges, and the best sum of scores is not what the model encodes. There the same
 lattice is folded by merges: the state is the set of boundaries, and each step
 takes the edge of best score (leftmost of equals) that spans exactly two symbols.
-Characters without a piece become byte pieces. Units of more than ``LONGEST``
-characters, for which the state doesn't fit 64 bits, are merged by the same rule
-with a heap.
+Characters without a piece become byte pieces, or where the model has none, the
+unknown id, one for each run of them. Units of more than ``LONGEST`` characters, for
+which the state doesn't fit 64 bits, are encoded by their model's rule as well:
+merges with a heap, or the path of least cost.
 
 Ids go back to their blocks, which put documents together by position.
 
@@ -43,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import trimmed, trimmed_stream, written
+from foliant.llm.common import filesystem, finished, scratch, trimmed, trimmed_stream
 from foliant.llm.token_files import slices
 
 SPACE = "▁"
@@ -52,7 +53,9 @@ MOST_PIECES = 500_000
 #: Bit of an edge that marks a late piece; ids lie below it.
 LATE = 1 << 19
 #: Text of a block. Larger ones share more units and take more memory.
-BLOCK_BYTES = 14 << 20
+BLOCK_BYTES = 9 << 20
+#: Text for each bucket of units.
+BUCKET_BYTES = 2 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -77,7 +80,7 @@ class Model:
         plain = {p: (i, sp.get_score(i)) for i, p in enumerate(names) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         raw = {int(p[3:5], 16): i for i, p in enumerate(names) if sp.is_byte(i)}
         back = {i: b for b, i in raw.items()}
-        decoded = [bytes([back[i]]) if i in back else b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
+        decoded = [bytes([back[i]]) if i in back else b"" if sp.is_control(i) else " \u2047 ".encode() if sp.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
         if any(SPACE in p.lstrip(SPACE) for p in plain) or any(p.startswith(SPACE * 2) and p.strip(SPACE) for p in plain):
             raise ValueError("pieces must not span words")
         return cls(plain, raw, decoded, sp.unk_id(), bpe, max(map(len, plain)), cut_of(plain))
@@ -111,6 +114,33 @@ class Model:
             at = end[at]
         return out
 
+    def least_cost(self, unit: str) -> list[int]:
+        """The ids of one unit along the path of least cost (unigram models)."""
+        n, best, from_ = len(unit), [0.0], [0]
+        for j in range(1, n + 1):
+            cost, at = best[j - 1] + (self.cost(unit[j - 1])), j - 1
+            for i in range(j - 2, max(-1, j - self.longest - 1), -1):
+                if (p := self.pieces.get(unit[i:j])) and best[i] - p[1] <= cost:
+                    cost, at = best[i] - p[1], i
+            best.append(cost)
+            from_.append(at)
+        out, j = [], n
+        while j:
+            out.append(self.ids_of(unit[from_[j] : j]))
+            j = from_[j]
+        return [x for ids in reversed(out) for x in ids]
+
+    @property
+    def unknown_cost(self) -> float:
+        """That of a character without a piece: ten more than the worst piece's."""
+        return 10.0 - min(x for _, x in self.pieces.values())
+
+    def cost(self, char: str) -> float:
+        return -p[1] if (p := self.pieces.get(char)) else self.unknown_cost
+
+    def long_unit(self, unit: str) -> list[int]:
+        return self.merged(unit) if self.bpe else self.least_cost(unit)
+
     def ids_of(self, piece: str) -> list[int]:
         if p := self.pieces.get(piece):
             return [p[0]]
@@ -164,53 +194,78 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Arr
         yield tuple(pa.concat_arrays(x) for x in zip(*held, strict=True))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], cut: re.Pattern) -> Iterator[pa.RecordBatch]:
-    """(block, docs, lengths, hashes, codes, units): a block's documents as
-    sequences of numbers of its distinct units."""
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(order of the texts, distinct words, their numbers in the texts in that
+    order, words of each): a word is a run of space signs with what follows."""
+    marked = pc.replace_substring(texts, " ", SPACE)
+    plain = pc.invert(pc.or_(pc.or_(pc.match_substring(marked, SPACE * 2), pc.starts_with(marked, SPACE)), pc.equal(pc.binary_length(texts), 0)))
+    odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    split = pc.split_pattern(marked.filter(plain), SPACE)
+    coded = split.flatten().dictionary_encode()
+    own = [units_of(SPACE + x.as_py()) if len(x.as_py()) else [] for x in marked.take(pa.array(odd, pa.int64()))]
+    more = pa.array([w for x in own for w in x], pa.string()).dictionary_encode()
+    names = pc.binary_join_element_wise(SPACE, coded.dictionary.cast(pa.string()), "")
+    both = pa.concat_arrays([names, more.dictionary.cast(pa.string())]).dictionary_encode()
+    to = both.indices.to_numpy(zero_copy_only=False)
+    code = np.concatenate([to[coded.indices.to_numpy(zero_copy_only=False)], to[len(names) :][more.indices.to_numpy(zero_copy_only=False)]])
+    n = np.concatenate([np.diff(split.offsets.to_numpy()), np.array([len(x) for x in own], np.int64)])
+    order = np.concatenate([np.flatnonzero(plain.to_numpy(zero_copy_only=False)), odd])
+    return order, both.dictionary, code, n.astype(np.int64)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], cut: re.Pattern, buckets: int, at: str) -> Iterator[pa.RecordBatch]:
+    """(bucket, block, units): the units of a block that fall to a bucket, in order;
+    each block has a row in bucket 0. Its documents, as sequences of numbers of its
+    units, wait in a file below ``at`` that is named after the block, so that they
+    needn't be shuffled; a repeated task writes the same file again."""
+    fs, root = filesystem(at)
+    fs.create_dir(root, recursive=True)
     z = zstandard.ZstdCompressor(level=3)
     for no, (ids, texts) in enumerate((i, pc.fill_null(t, "")) for i, t in _parts(batches)):
-        hashes = np.array([xxhash.xxh64_intdigest(x.encode()) for x in texts.to_pylist()], np.uint64)
-        marked = pc.replace_substring(texts, " ", SPACE)
-        odd = pc.or_(pc.match_substring(marked, SPACE * 2), pc.starts_with(marked, SPACE))
-        words = pc.split_pattern(marked, SPACE)
-        n = np.diff(words.offsets.to_numpy())
-        coded = words.flatten().dictionary_encode()
-        distinct = [SPACE + w for w in coded.dictionary.to_pylist()]
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        odd = odd.to_numpy(zero_copy_only=False)
-        if odd.any() or empty.any():
-            index = {w: i for i, w in enumerate(distinct)}
-            per = np.split(code, np.cumsum(n)[:-1])
-            for i in np.flatnonzero(odd | empty):
-                own = [] if empty[i] else units_of(SPACE + marked[int(i)].as_py())
-                for w in own:
-                    if w not in index:
-                        index[w] = len(distinct)
-                        distinct.append(w)
-                per[i] = np.array([index[w] for w in own], np.int64)
-            code, n = np.concatenate(per), np.array([len(p) for p in per])
-        parts, index = [], {}
-        for w in distinct:
-            own = [w] if w[1:].isalnum() else [x for x in cut.split(w) if x]
-            parts.append([index.setdefault(x, len(index)) for x in own])
-        size = np.array([len(p) for p in parts], np.int64)
-        flat = np.array([x for p in parts for x in p], np.int64)
-        start = np.concatenate([[0], np.cumsum(size)])[:-1]
+        hashes = np.fromiter((xxhash.xxh64_intdigest(x.as_py().encode()) for x in texts), np.uint64, len(texts))
+        order, words, code, n = _words(texts)
+        ids, texts = pc.fill_null(ids.cast(pa.int64()), NULL_ID).to_numpy(zero_copy_only=False), None
+        whole = pc.utf8_is_alnum(pc.utf8_slice_codeunits(words, 1)).to_numpy(zero_copy_only=False)
+        cuts = [[x for x in cut.split(w) if x] for w in words.filter(pa.array(~whole)).to_pylist()]
+        size, start = np.ones(len(words), np.int64), np.zeros(len(words), np.int64)
+        size[~whole] = [len(x) for x in cuts]
+        start[whole] = np.arange(whole.sum())
+        start[~whole] = whole.sum() + np.cumsum(size[~whole]) - size[~whole]
+        coded = pa.concat_arrays([words.filter(pa.array(whole)), pa.array([x for c in cuts for x in c], pa.string())]).dictionary_encode()
+        flat, units = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
         k = size[code]
         ends = np.concatenate([[0], np.cumsum(k)])
-        codes = flat[np.repeat(start[code] - ends[:-1], k) + np.arange(ends[-1])].astype("<u4")
+        at_ = np.repeat(start[code] - ends[:-1], k)
+        at_ += np.arange(ends[-1])
+        codes = flat[at_]
+        del at_, code
         lengths = np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
-        docs = pc.fill_null(ids.cast(pa.int64()), NULL_ID).to_numpy(zero_copy_only=False)
+        raw = units.cast(pa.binary()).to_pylist()
+        to = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % buckets
+        # Units are placed bucket by bucket, and numbered by falling counts, which pack well.
+        placed = pc.sort_indices(units).to_numpy().astype(np.int64)
+        placed = placed[np.argsort(to[placed], kind="stable")]
+        by_count = np.argsort(-np.bincount(codes, minlength=len(raw))[placed], kind="stable")
+        number = np.empty(len(raw), np.int64)
+        number[placed[by_count]] = np.arange(len(raw))
         block = (TaskContext.get().partitionId() << 24) + no
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([block], pa.int64()),
-                *(pa.array([x], pa.binary()) for x in (docs.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), hashes.tobytes(), z.compress(_planes(codes)))),
-                pa.array([_joined(list(index))], pa.binary()),
-            ],
-            names=["block", "docs", "lengths", "hashes", "codes", "units"],
-        )
+        head = [ids[order].astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), hashes[order].tobytes(), _planes(number.astype("<u4")[codes]), _planes(np.diff(by_count, prepend=0))]
+        with fs.open_output_stream(f"{root}/{block}") as f:
+            f.write(z.compress(np.array([*map(len, head)], "<i8").tobytes() + b"".join(head)))
+        first = np.flatnonzero(np.diff(to[placed], prepend=-1)).tolist()
+        rows = [(int(to[placed[x]]), block, _joined([raw[i] for i in placed[x:y]])) for x, y in zip(first, [*first, len(placed)][1:], strict=True)]
+        if not rows or rows[0][0]:
+            rows.insert(0, (0, block, _joined([])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "block", "units"])
+
+
+def _head(at: str, block: int) -> list[bytes]:
+    """docs, lengths, hashes, codes and order of a block."""
+    fs, root = filesystem(at)
+    with fs.open_input_file(f"{root}/{block}") as f:
+        raw = zstandard.ZstdDecompressor().decompress(f.read())
+    ends = (40 + np.cumsum(np.frombuffer(raw, "<i8", 5))).tolist()
+    return [raw[a:z] for a, z in zip([40, *ends[:-1]], ends, strict=True)]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -222,32 +277,16 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _joined(units: list[str]) -> bytes:
-    """Units with their lengths in front, so that any character may occur."""
-    data = [u.encode() for u in units]
-    return zstandard.ZstdCompressor(level=3).compress(np.array([len(data), *map(len, data)], "<u4").tobytes() + b"".join(data))
+def _joined(units: list[bytes]) -> bytes:
+    """Strings with their lengths in front, so that any character may occur."""
+    return zstandard.ZstdCompressor(level=6).compress(np.array([len(units)], "<u4").tobytes() + _planes(np.array([*map(len, units)], np.int64)) + b"".join(units))
 
 
-def _unjoined(packed: bytes) -> list[str]:
+def _unjoined(packed: bytes) -> pa.Array:
     raw = zstandard.ZstdDecompressor().decompress(packed)
     n = int.from_bytes(raw[:4], "little")
-    size = np.frombuffer(raw, "<u4", n, 4)
-    text = raw[4 + 4 * n :]
-    ends = np.cumsum(size).tolist()
-    return [text[a:z].decode() for a, z in zip([0, *ends[:-1]], ends, strict=True)] if n else []
-
-
-def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, block, places, units): a block's units by bucket."""
-    for b in batches:
-        for block, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            units = _unjoined(packed)
-            to = np.array([zlib.crc32(u.encode()) % buckets for u in units], np.int64)
-            order = np.argsort(to, kind="stable")
-            cut = np.flatnonzero(np.diff(to[order], prepend=-1)).tolist()
-            for x, y in zip(cut, [*cut, len(order)][1:], strict=True):
-                own = order[x:y]
-                yield pa.RecordBatch.from_arrays([pa.array([to[own[0]]], pa.int32()), pa.array([block], pa.int64()), pa.array([own.astype("<u4").tobytes()], pa.binary()), pa.array([_joined([units[i] for i in own])], pa.binary())], names=["bucket", "block", "places", "units"])
+    ends = np.concatenate([[0], np.cumsum(_unplaned(raw[4 : 4 + 4 * n]))]).astype("<i4")
+    return pa.StringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[4 + 4 * n :]))
 
 
 def _long(n: int) -> Column:
@@ -302,15 +341,20 @@ def _byte_ids(ch: Column, m: Model) -> Column:
     return F.transform(F.sequence(F.lit(1), (F.length(digits) / 2).cast("int")), lambda k: F.conv(F.substring(digits, (k * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("int") + low)
 
 
-def _char_ids(ch: Column, m: Model) -> Column:
-    """The ids of one character: its piece, by an array over code points, or bytes."""
-    own = {ord(p): i for p, (i, _) in m.pieces.items() if len(p) == 1}
-    near, far = {c: i for c, i in own.items() if c < 1 << 16}, {c: i for c, i in own.items() if c >= 1 << 16}
-    by_code = F.from_json(F.lit(str([near.get(c, -1) for c in range(1 + max(near, default=0))])), "array<int>")
+def _by_code(ch: Column, values: dict[int, float], kind: str) -> Column:
+    """The value of one character, by an array over code points; -1 where it has none."""
+    near, far = {c: v for c, v in values.items() if c < 1 << 16}, {c: v for c, v in values.items() if c >= 1 << 16}
+    by_code = F.from_json(F.lit(str([near.get(c, -1) for c in range(1 + max(near, default=0))])), f"array<{kind}>")
     code = F.ascii(ch)
-    found = F.coalesce(F.get(by_code, code), F.lit(-1))
-    for c, i in far.items():
-        found = F.when(code == c, i).otherwise(found)
+    rare = F.lit(-1).cast(kind)
+    for c, v in far.items():
+        rare = F.when(code == c, F.lit(v).cast(kind)).otherwise(rare)
+    return F.when(code < 1 << 16, F.coalesce(F.get(by_code, code), F.lit(-1).cast(kind))).otherwise(rare)
+
+
+def _char_ids(ch: Column, m: Model) -> Column:
+    """The ids of one character: its piece or bytes."""
+    found = _by_code(ch, {ord(p): i for p, (i, _) in m.pieces.items() if len(p) == 1}, "int")
     return F.when(found >= 0, F.array(found)).otherwise(_byte_ids(ch, m))
 
 
@@ -330,18 +374,19 @@ def merged_fold() -> Column:
 
 
 def viterbi_fold(m: Model) -> Column:
-    """The boundaries of the path of least cost, as bits (unigram models). A
-    character alone costs its piece's score, or much if it has none."""
+    """The boundaries of the path of least cost, as bits (unigram models). Of equal
+    paths the one with the longer last piece."""
     n = F.length("unit")
     costs = dict(m.pieces.values())
     by_id = F.from_json(F.lit(str([-costs.get(i, 0.0) for i in range(len(m.decoded))])), "array<double>")
+    own_ids = {ord(p): i for p, (i, _) in m.pieces.items() if len(p) == 1}
     kind = "array<struct<cost:double,path:bigint>>"
 
     def step(best: Column, j: Column) -> Column:
         into = F.filter("edges", lambda e: (end_of(e) == j) & (first_of(e) < j - 1))
         wide = F.transform(into, lambda e: F.struct((F.get(best, first_of(e).cast("int"))["cost"] + F.get(by_id, e.bitwiseAND(_long(LATE - 1)).cast("int"))).alias("cost"), F.get(best, first_of(e).cast("int"))["path"].bitwiseOR(_bit(j)).alias("path")))
-        ids = _char_ids(F.substring(F.col("unit"), j, F.lit(1)), m)
-        alone = F.when((F.size(ids) == 1) & (F.get(ids, 0) != m.unknown), F.get(by_id, F.get(ids, 0))).otherwise(1e6)
+        own = _by_code(F.substring(F.col("unit"), j, F.lit(1)), own_ids, "int")
+        alone = F.when(own >= 0, F.get(by_id, own)).otherwise(m.unknown_cost)
         last = F.get(best, (j - 1).cast("int"))
         one = F.struct((last["cost"] + alone).alias("cost"), last["path"].bitwiseOR(_bit(j)).alias("path"))
         return F.concat(best, F.array(F.array_min(F.concat(wide, F.array(one)))))
@@ -364,12 +409,18 @@ def encoded_units(units: DataFrame, m: Model, parts: int) -> DataFrame:
     return rows.select("bucket", "unit", ids.alias("ids"))
 
 
+#: A task has some ten thousand units; their edges fit in memory without a sort.
+NO_SORT = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(1 << 17)}
+
+
+@finished("piece-digests", **NO_SORT)
 def encoded(docs: DataFrame, model_path: str, bpe: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, round_trip) of every row: the ids of its whole
     text, and whether decoding them gives the text back."""
     return _encode(docs, model_path, bpe, _digested, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
+@finished("piece-ids", **NO_SORT)
 def token_ids(docs: DataFrame, model_path: str, bpe: bool = True) -> DataFrame:
     """(doc_id, ids, text) of every row: its ids, and what they decode to."""
     return _encode(docs, model_path, bpe, _listed, "doc_id long, ids array<int>, text string")
@@ -377,67 +428,76 @@ def token_ids(docs: DataFrame, model_path: str, bpe: bool = True) -> DataFrame:
 
 def _encode(docs: DataFrame, model_path: str, bpe: bool, told, schema: str) -> DataFrame:
     m = Model.load(model_path, bpe)
-    # A task has some ten thousand units; their edges fit in memory without a sort.
-    docs.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 17))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = "block long, docs binary, lengths binary, hashes binary, codes binary, units binary"
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(48, size // BUCKET_BYTES)
+    parts = max(8, buckets // 4)
     cut = m.cut
-    blocks = written(slim.mapInArrow(trimmed_stream(lambda b: _blocks(b, cut)), kinds), "blocks")
-    buckets = max(192, 6 * blocks.count())
-    dealt = written(blocks.select("block", "units").mapInArrow(trimmed_stream(lambda b: _dealt(b, buckets)), "bucket int, block long, places binary, units binary"), "units")
+    at = scratch(docs.sparkSession, "heads")
+    # Both uses of the dealt units share one exchange.
+    dealt = slim.mapInArrow(trimmed_stream(lambda b: _blocks(b, cut, buckets, at)), "bucket int, block long, units binary").repartition(parts, "bucket")
 
     def distinct(t: pa.Table) -> pa.Table:
-        own = sorted({u for p in t.column("units").to_pylist() for u in _unjoined(p)})
-        own = [u for u in own if len(u) <= LONGEST]
-        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()] * len(own), pa.int32()), "unit": pa.array(own, pa.string())})
+        own = pc.unique(pa.chunked_array([_unjoined(p) for p in t.column("units").to_pylist()]))
+        own = own.filter(pc.less_equal(pc.utf8_length(own), LONGEST))
+        return pa.table({"bucket": pa.array(np.full(len(own), t.column("bucket")[0].as_py()), pa.int32()), "unit": own})
 
-    units = dealt.select("bucket", "units").groupBy("bucket").applyInArrow(trimmed(lambda t: distinct(t)), "bucket int, unit string")
+    units = dealt.groupBy("bucket").applyInArrow(trimmed(lambda t: distinct(t)), "bucket int, unit string")
     kind = "array<smallint>" if len(m.decoded) < 1 << 15 else "array<int>"
-    known = encoded_units(units, m, buckets // 4).select("bucket", "unit", F.col("ids").cast(kind).alias("ids"))
+    known = encoded_units(units, m, parts).select("bucket", "unit", F.col("ids").cast(kind).alias("ids"))
 
     def placed(d: pa.Table, e: pa.Table) -> pa.Table:
-        ids = dict(zip(e.column("unit").to_pylist(), e.column("ids").to_pylist(), strict=True))
         z, out = zstandard.ZstdCompressor(level=3), []
-        for packed in d.column("units").to_pylist():
-            got = [ids[u] if len(u) <= LONGEST else m.merged(u) for u in _unjoined(packed)]
-            size = np.array([len(x) for x in got], "<u4")
-            out.append(z.compress(size.tobytes() + np.array([i for x in got for i in x], "<u4").tobytes()))
-        return pa.table({"block": d.column("block"), "places": d.column("places"), "ids": pa.array(out, pa.binary())})
-
-    placed_ids = dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(trimmed(lambda d, e: placed(d, e)), "block long, places binary, ids binary")
-
-    def put(b: pa.Table, p: pa.Table) -> pa.Table:
-        return told(*_assembled(b, p), m)
-
-    return blocks.drop("units").groupBy("block").cogroup(placed_ids.groupBy("block")).applyInArrow(trimmed(lambda b, p: put(b, p)), schema)
-
-
-def _assembled(b: pa.Table, p: pa.Table) -> tuple:
+        each = [_unjoined(p) for p in d.column("units").to_pylist()]
+        value, ids = e.column("unit").combine_chunks(), e.column("ids").combine_chunks()
+        for row in each:
+            found = pc.index_in(row, value_set=value)
+            got = ids.take(found)
+            n = pc.fill_null(pc.list_value_length(got), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = got.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            if found.null_count:
+                late = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+                more = [m.long_unit(row[int(i)].as_py()) for i in late]
+                own = np.split(flat, np.cumsum(n)[:-1])
+                for i, x in zip(late.tolist(), more, strict=True):
+                    own[i] = np.array(x, np.int64)
+                flat, n = np.concatenate(own), np.array([len(x) for x in own])
+            out.append(z.compress(np.array([len(n)], "<u4").tobytes() + _planes(n) + _planes(flat)))
+        return pa.table({"block": d.column("block"), "bucket": d.column("bucket"), "ids": pa.array(out, pa.binary())})
+
+    placed_ids = dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(trimmed(lambda d, e: placed(d, e)), "block long, bucket int, ids binary")
+
+    unknown = None if m.bytes_ else m.unknown
+    return placed_ids.groupBy("block").applyInArrow(trimmed(lambda p: told(*_assembled(p, at, unknown), m)), schema)
+
+
+def _assembled(p: pa.Table, at: str, unknown: int | None) -> tuple:
     """(docs, hashes, all ids, ids of each document) of one block."""
     un = zstandard.ZstdDecompressor().decompress
-    places = [np.frombuffer(x, "<u4") for x in p.column("places").to_pylist()]
-    total = sum(map(len, places))
-    size, start, pool, base = np.zeros(total, np.int64), np.zeros(total, np.int64), [np.zeros(0, np.uint32)], 0
-    for at, packed in zip(places, p.column("ids").to_pylist(), strict=True):
-        flat = np.frombuffer(un(packed), "<u4")
-        n, own = flat[: len(at)].astype(np.int64), flat[len(at) :]
-        size[at], start[at] = n, base + np.cumsum(n) - n
-        pool.append(own)
-        base += len(own)
-    pool = np.concatenate(pool)
-    docs, hashes, lengths = (np.frombuffer(b.column(c)[0].as_py(), d) for c, d in (("docs", "<i8"), ("hashes", np.uint64), ("lengths", "<i8")))
-    codes = _unplaned(un(b.column("codes")[0].as_py()))
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    return docs, hashes, codes, ends, size, start, pool
-
-
-def _each(docs, hashes, codes, ends, size, start, pool) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(doc, hash, ids) of each document of a block."""
+    sizes, pool = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for i in np.argsort(p.column("bucket").to_numpy()).tolist():
+        raw = un(p.column("ids")[i].as_py())
+        n = int.from_bytes(raw[:4], "little")
+        sizes.append(_unplaned(raw[4 : 4 + 4 * n]).astype(np.int64))
+        pool.append(_unplaned(raw[4 + 4 * n :]))
+    size = np.concatenate(sizes)
+    docs, lengths, hashes, codes, order = _head(at, p.column("block")[0].as_py())
+    place = np.cumsum(_unplaned(order), dtype=np.uint32)
+    lengths = np.frombuffer(lengths, "<i8")
+    start = (np.cumsum(size) - size)[place]
+    return np.frombuffer(docs, "<i8"), np.frombuffer(hashes, np.uint64), _unplaned(codes), np.concatenate([[0], np.cumsum(lengths)]), size[place], start, np.concatenate(pool), unknown
+
+
+def _each(docs, hashes, codes, ends, size, start, pool, unknown) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(doc, hash, ids) of each document of a block; a run of unknown ids is one."""
     for i, (d, h) in enumerate(zip(docs.tolist(), hashes.tolist(), strict=True)):
         own = codes[ends[i] : ends[i + 1]]
         n = size[own]
         upto = np.cumsum(n)
-        yield d, h, pool[np.repeat(start[own] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+        ids = pool[np.repeat(start[own] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+        if unknown is not None and len(ids):
+            ids = ids[np.concatenate([[True], (ids[1:] != unknown) | (ids[:-1] != unknown)])]
+        yield d, h, ids
 
 
 def decoded(ids: np.ndarray, m: Model) -> bytes:
@@ -446,15 +506,15 @@ def decoded(ids: np.ndarray, m: Model) -> bytes:
     return out[1:] if out.startswith(b" ") else out
 
 
-def _digested(docs, hashes, codes, ends, size, start, pool, m: Model) -> pa.Table:
-    rows = [(d, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), xxhash.xxh64_intdigest(decoded(ids, m)) == h) for d, h, ids in _each(docs, hashes, codes, ends, size, start, pool)]
+def _digested(docs, hashes, codes, ends, size, start, pool, unknown, m: Model) -> pa.Table:
+    rows = [(d, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), xxhash.xxh64_intdigest(decoded(ids, m)) == h) for d, h, ids in _each(docs, hashes, codes, ends, size, start, pool, unknown)]
     d, n, crc, same = zip(*rows, strict=True)
     d = np.array(d, np.int64)
     return pa.table({"doc_id": pa.array(d, mask=d == NULL_ID), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(same, pa.bool_())})
 
 
-def _listed(docs, hashes, codes, ends, size, start, pool, m: Model) -> pa.Table:
-    rows = [(d, ids.tolist(), decoded(ids, m).decode(errors="replace")) for d, _, ids in _each(docs, hashes, codes, ends, size, start, pool)]
+def _listed(docs, hashes, codes, ends, size, start, pool, unknown, m: Model) -> pa.Table:
+    rows = [(d, ids.tolist(), decoded(ids, m).decode(errors="replace")) for d, _, ids in _each(docs, hashes, codes, ends, size, start, pool, unknown)]
     d, ids, text = zip(*rows, strict=True)
     d = np.array(d, np.int64)
     return pa.table({"doc_id": pa.array(d, mask=d == NULL_ID), "ids": pa.array(ids, pa.list_(pa.int32())), "text": pa.array(text, pa.string())})
