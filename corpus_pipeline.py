@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's ``docs``. All but the last return the
-columns of ``documents``.
+columns of ``documents``, and columns of any other name as they came.
+
+Defined results: a null or empty text, or one without a letter, has no language and
+goes in the first stage; null ids, languages and sources are kept as they are (a null
+id has no group and never goes for a copy); rows equal in id and text stay or go
+together, but for the mixture, which may end between them; ids that share a group
+through any of their texts leave the rows of the least id; an empty table gives an
+empty one in every stage.
 """
 
 from __future__ import annotations
@@ -20,8 +27,7 @@ SHARE = 0.95
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier tells; it rejects texts without a
     letter and those between two languages."""
-    told = language_id.classify(docs, language_id.learned_from(docs))
-    return told.filter(~F.col("rejected")).select(*docs.columns)
+    return language_id.known(docs, language_id.learned_from(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +44,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fill the budgets of their domain, language and source once."""
-    sized = catalog.with_domain(docs).withColumn("quarters", F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4).cast("long"))
+    quarters = F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4).cast("long").alias("quarters")
+    sized = catalog.with_domain(docs.select("doc_id", "text", "lang", "source", quarters, F.struct("*").alias("row")))
     taken = mixture.select(sized, ("domain", "lang", "source"), "quarters", SHARE, catalog.MIX_WEIGHTS, seed=17, max_epochs=1)
-    return taken.select(*docs.columns)
+    return taken.select("row.*")
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

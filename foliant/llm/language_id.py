@@ -30,6 +30,9 @@ UNKNOWN = "und"
 BETWEEN = re.compile(r"[\W\d_]+")
 BLOCK = 16 << 10
 LEVEL = 3
+#: Ranges of the hash in which the sample is looked for, as a power of two.
+RANGE_BITS = 4
+FIELDS = ("lang_pred", "score", "margin", "rejected")
 PREDICTION = "lang_pred string, score double, margin double, rejected boolean"
 
 
@@ -42,8 +45,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
         .withColumns({"_far": ~size.between(*sample_range), "_hash": F.xxhash64("_text")})
     )
     # Copies count once: the first hashes of a language, then the texts that have them.
-    first = Window.partitionBy("_lang").orderBy("_far", "_hash")
-    hashes = picked.select("_lang", "_far", "_hash").distinct().withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= sample_rows).drop("_rn")
+    # Ranges of the hash come first, so that no task holds a language: the second
+    # window sees at most RANGES * sample_rows rows of each.
+    hashes = picked.select("_lang", "_far", "_hash", F.shiftrightunsigned("_hash", 64 - RANGE_BITS).alias("_range")).distinct()
+    for keys in (["_lang", "_range"], ["_lang"]):
+        first = Window.partitionBy(*keys).orderBy("_far", "_hash")
+        hashes = hashes.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= sample_rows).drop("_rn")
+    hashes = hashes.drop("_range")
     texts = picked.join(F.broadcast(hashes), ["_lang", "_far", "_hash"], "left_semi").distinct()
     last = Window.partitionBy("_lang").orderBy("_far", "_hash", "_text")
     rows = texts.withColumn("_rn", F.row_number().over(last)).filter(F.col("_rn") <= sample_rows).select("_lang", "_rn", "_text").collect()
@@ -105,8 +113,16 @@ def classify(df: DataFrame, dicts: dict[str, bytes], text: str = "text", least_m
         for part in parts:
             yield pd.DataFrame([m.predict(x if isinstance(x, str) else None, least_margin) for x in part], columns=["lang_pred", "score", "margin", "rejected"])
 
-    out = df.withColumn("_p", predicted(F.col(text).cast("string")))
-    return out.withColumns({c: F.col("_p")[c] for c in ("lang_pred", "score", "margin", "rejected")}).drop("_p")
+    told = F.struct("*"), predicted(F.col(text).cast("string"))
+    kept = [c for c in df.columns if c not in FIELDS]
+    rows = df.select(told[0].alias("row"), told[1].alias("told"))
+    return rows.select(*(F.col("row")[c].alias(c) for c in kept), *(F.col("told")[c].alias(c) for c in FIELDS))
+
+
+def known(df: DataFrame, dicts: dict[str, bytes], text: str = "text", least_margin: float = 0.005) -> DataFrame:
+    """The rows of ``df`` that aren't rejected, with its own columns, whatever their names."""
+    row = classify(df.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text")), dicts, "text", least_margin)
+    return row.filter(~F.col("rejected")).select("row.*")
 
 
 def held_out(doc_id: str = "doc_id"):
