@@ -3,10 +3,8 @@
 Each document is a sparse row over the n-grams (64-bit hashes of its word
 shingles). Documents with equal rows become one class. The columns are cut into
 K blocks of the hash range, K from the size of a row. Rows that link at p
-percent differ in at most d = a * (100 - p) / p entries, a the smaller size; up
-to d = 62 there are d + 2 blocks, so two of them are equal in both rows. Longer
-rows have d / 1.6 blocks: as hashes deal the differences evenly, a pair just at
-the threshold misses all its blocks with a chance below 1e-6. Rows equal in a
+percent differ in at most d = a * (100 - p) / p entries, a the smaller size; there
+are d + 2 blocks, so two of them are equal in both rows at least. Rows equal in a
 block are brought together and pairs are discarded by bounds that follow from
 sizes alone: two rows differ in at least as many entries as their parity
 sketches have distance, and may in (a + b) * (100 - p) / (100 + p). The rest are
@@ -37,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import trimmed, trimmed_stream, written
+from foliant.llm.common import finished, trimmed, trimmed_stream, written
 from foliant.llm.graph import components
 from foliant.llm.token_files import slices
 
@@ -77,7 +75,7 @@ def class_of(n: int, percent: int) -> int:
 
 def blocks_of(c: int, percent: int) -> int:
     d = differing(bounds(percent)[c + 1] - 1, percent)
-    return max(min(d + 2, 64), d * 10 // 16)
+    return d + 2
 
 
 def classes(n: int, percent: int) -> list[int]:
@@ -139,11 +137,11 @@ def may_link(distance, a, b, percent: int):
     return distance * (100 + percent) <= (100 - percent) * (a + b)
 
 
-ROWS = "doc_id long, n long, digest binary, sigs array<binary>, sketches array<binary>"
+ROWS = "doc_id long, n long, own int, digest binary, sigs array<binary>, sketches array<binary>"
 
 
 def _describe(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sigs", pa.list_(pa.binary())), ("sketches", pa.list_(pa.binary()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("own", pa.int32()), ("digest", pa.binary()), ("sigs", pa.list_(pa.binary())), ("sketches", pa.list_(pa.binary()))])
     for b in batches:
         ids, at = b.column(0), 0
         for texts in slices(b.column(1), SLICE):
@@ -153,6 +151,7 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterat
                 [
                     ids.slice(at, len(texts)).cast(pa.int64()),
                     pa.array([len(r) for r in rows], pa.int64()),
+                    pa.array([class_of(len(r), percent) for r in rows], pa.int32()),
                     pa.array([xxhash.xxh3_128_digest(r.tobytes()) for r in rows], pa.binary()),
                     pa.array([[signatures(r, c, percent).tobytes() for c in cs] for r, cs in zip(rows, meets, strict=True)], pa.list_(pa.binary())),
                     pa.array([[sketch(r, c, percent) for c in cs] for r, cs in zip(rows, meets, strict=True)], pa.list_(pa.binary())),
@@ -234,17 +233,20 @@ def _led(t: pa.Table, percent: int) -> pa.Table:
 
 
 def _apart(t: pa.Table, percent: int) -> pa.Table:
-    """All pairs that the bounds allow between different components of a group."""
-    doc, n, m = _sketches(t)
-    comp = t.column("component").to_numpy()[np.argsort(t.column("doc").to_numpy(), kind="stable")]
-    main = np.unique(comp, return_counts=True)
-    minor = comp != main[0][np.argmax(main[1])]
+    """Pairs that the bounds allow between different components of a group: some of
+    its rows outside the main component (``side``) by some of all its rows. Two that
+    are both outside meet twice and count where the greater one isn't ``side``."""
+    (x, xn, xm), (y, yn, ym) = (_sketches(t.filter(pa.array(t.column("side").to_numpy(zero_copy_only=False) == s))) for s in (True, False))
+    own = dict(zip(t.column("doc").to_pylist(), t.column("component").to_pylist(), strict=True))
+    outside = dict(zip(t.column("doc").to_pylist(), t.column("minor").to_pylist(), strict=True))
+    xc, yc = (np.array([own[i] for i in d.tolist()], np.int64) for d in (x, y))
+    minor = np.array([outside[i] for i in y.tolist()], bool)
     a, b = [], []
-    for i in np.flatnonzero(minor):
-        other = np.flatnonzero((comp != comp[i]) & (~minor | (np.arange(len(doc)) > i)))
-        near = other[may_link(np.bitwise_count(m[other] ^ m[i]).sum(1, dtype=np.int64), n[other], n[i], percent)]
-        a.append(np.full(len(near), doc[i]))
-        b.append(doc[near])
+    for i in range(len(x)):
+        other = np.flatnonzero((yc != xc[i]) & (~minor | (y > x[i])))
+        near = other[may_link(np.bitwise_count(ym[other] ^ xm[i]).sum(1, dtype=np.int64), yn[other], xn[i], percent)]
+        a.append(np.full(len(near), x[i]))
+        b.append(y[near])
     return _pairs(a, b)
 
 
@@ -298,6 +300,7 @@ def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int, reps: DataFr
     return block.groupBy("a", "part").applyInArrow(lambda t: _multiplied(t, percent), PAIR)
 
 
+@finished("jaccard-groups")
 def clustered(docs: DataFrame, n: int = 3, percent: int = 90, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -313,8 +316,7 @@ def clustered(docs: DataFrame, n: int = 3, percent: int = 90, buckets: int | Non
     entries = distinct.select("doc", "n", "sigs").mapInArrow(trimmed_stream(lambda b: _dealt(b, buckets, percent)), "bucket int, sig binary, doc binary, cls binary")
     groups = entries.groupBy("bucket").applyInArrow(trimmed(lambda t: _grouped(t)), "gid long, cls int, chunk long, doc long")
     groups = written(groups.dropDuplicates(["gid", "doc"]), "groups")
-    own = F.udf(lambda x: class_of(x, percent), "int")
-    info = distinct.select("doc", "n", "sketches").join(groups.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).withColumn("own", own("n"))
+    info = distinct.select("doc", "n", "own", "sketches").join(groups.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
     # A row's last sketch is that of its own class, the first may be of the one below.
     place = F.when(F.col("cls") == F.col("own"), F.size("sketches")).otherwise(1)
     members = written(groups.join(info, "doc").select("gid", "chunk", "doc", "n", F.element_at("sketches", place).alias("sketch")), "members")
@@ -324,9 +326,16 @@ def clustered(docs: DataFrame, n: int = 3, percent: int = 90, buckets: int | Non
     led = members.unionByName(others.join(heads, "gid").select("gid", "chunk", "h.doc", "h.n", "h.sketch"))
     first = linked(led.groupBy("gid", "chunk").applyInArrow(trimmed(lambda t: _led(t, percent)), PAIR), docs, n, percent, reps)
     comp = written(components(first), "components")
-    label = members.join(comp, members.doc == comp.node, "left").select("gid", "doc", "n", "sketch", F.coalesce("component", "doc").alias("component"))
-    mixed = label.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("gid")
-    apart = label.join(mixed, "gid", "left_semi").groupBy("gid").applyInArrow(trimmed(lambda t: _apart(t, percent)), PAIR)
+    label = members.join(comp, members.doc == comp.node, "left").select("gid", "chunk", "doc", "n", "sketch", F.coalesce("component", "doc").alias("component"))
+    # What is outside a group's main component, by all of the group, chunk by chunk.
+    counts = label.groupBy("gid", "component").agg(F.count("*").alias("k"))
+    main = counts.groupBy("gid").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
+    label = written(label.join(main, "gid").withColumn("minor", F.col("component") != F.col("main")).drop("main", "kinds"), "apart")
+    chunks = label.select("gid", F.col("chunk").alias("by")).distinct()
+    sides = label.filter("minor").select("gid", F.col("chunk").alias("from")).distinct()
+    left = label.filter("minor").join(chunks, "gid").select("gid", F.col("chunk").alias("from"), "by", "doc", "n", "sketch", "component", "minor", F.lit(True).alias("side"))
+    right = label.join(sides, "gid").select("gid", "from", F.col("chunk").alias("by"), "doc", "n", "sketch", "component", "minor", F.lit(False).alias("side"))
+    apart = left.unionByName(right).groupBy("gid", "from", "by").applyInArrow(trimmed(lambda t: _apart(t, percent)), PAIR)
     second = linked(apart, docs, n, percent, reps)
     carried = written(named.select("doc_id", "digest").join(reps, "digest").select("doc_id", "class", "rep").distinct(), "carried")
     ids = carried.groupBy("doc_id").agg(F.min("class").alias("class"), F.min("rep").alias("rep"), F.count("*").alias("k"))
