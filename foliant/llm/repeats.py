@@ -41,13 +41,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from foliant.llm.common import small_batches, trimmed, trimmed_stream
+from foliant.llm.common import finished, trimmed, trimmed_stream
 from foliant.llm.token_files import slices
 
 WINDOW = 100
 GRAM = 32
 SPAN = WINDOW - GRAM + 1
 CHUNK = 1 << 16
+#: Text for each part of the documents and for each bucket of phrases.
+PART_BYTES = 6 << 20
+BUCKET_BYTES = 3 << 20
 PLACE = np.uint64((1 << 20) - 1)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 NULL_ID = -(1 << 63)
@@ -398,9 +401,9 @@ def _rest(value: bytes, spans: np.ndarray | None) -> bytes:
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(packed documents, marks), both with their ``part``."""
-    small_batches(docs.sparkSession)
-    n = docs.count()
-    parts, buckets = max(48, n // 3000), max(64, n // 1500)
+    # Tasks by bytes: long texts make many phrases.
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    parts, buckets = max(48, size // PART_BYTES), max(64, size // BUCKET_BYTES)
     text, key = F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id")
     slim, others = docs.select(key, text), [c for c in docs.columns if c != text_col]
     kinds = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
@@ -414,6 +417,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     return whole, marks
 
 
+@finished("repeat-digests")
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     whole, marks = _marked(docs.select(id_col, text_col), id_col, text_col)
@@ -431,6 +435,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return whole.drop("_0").groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(told, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+@finished("without-repeats")
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeats cut out of its texts (null texts stay null)."""
     whole, marks = _marked(docs, id_col, text_col)

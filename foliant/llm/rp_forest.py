@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import trimmed, trimmed_stream, written
+from foliant.llm.common import finished, trimmed, trimmed_stream, written
 from foliant.llm.graph import components
 
 
@@ -258,6 +258,7 @@ def near(reps: DataFrame, least: float, trees: int, few: int, sample_rows: int,
     return dealt.groupBy("dim", "leaf", "one", "two").applyInArrow(trimmed(compared), "node long, n long, root long")
 
 
+@finished("vector-groups")
 def linked(df: DataFrame, least: float = 0.95, trees: int = 10, few: int = 400, sample_rows: int = 8192, block_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).withColumn("ok", valid())

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import filesystem, local_path, scratch
 
+#: Expected input of a part; its texts may be some times larger unpacked.
+PART_BYTES = 32 << 20
 NULL_ID = -(1 << 63)
 #: Pieces of text that are encoded together, in bytes, and remembered words.
 SLICE_BYTES = 8 << 20
@@ -185,13 +187,21 @@ def _write_part(batches: Iterator[pa.RecordBatch], at: str, vocabulary: str, end
         yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "name": [name], "n_docs": [docs], "n_ids": [total]}, schema=pa.schema([("part", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
 
+def parts_of(docs: DataFrame) -> int:
+    """Parts of some ``PART_BYTES`` by the size that the plan expects, at least the
+    session's number."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, size // PART_BYTES) if size < 1 << 60 else least
+
+
 def write(docs: DataFrame, at: str, vocabulary: str, end_id: int) -> Manifest:
     """Writes ``docs`` below the URI ``at``; one shuffle, of the texts."""
     fs, root = filesystem(at)
     fs.create_dir(root, recursive=True)
     ranged = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
+        .repartitionByRange(parts_of(docs), F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     )
     rows = sorted(tuple(r) for r in ranged.mapInArrow(lambda b: _write_part(b, at, vocabulary, end_id), "part long, name string, n_docs long, n_ids long").collect())

@@ -17,6 +17,7 @@ repeated batch does not; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,11 +60,18 @@ class Rollup:
         return {int(n.split("-")[1]): f"{self.path}/{n}" for n in names if n.startswith(f"{kind}-")}
 
     def _place(self, rows: DataFrame, name: str) -> bool:
-        aside = f"{self.path}/_aside-{name}"
-        rows.coalesce(1).write.mode("overwrite").parquet(aside)
-        done = self._fs.rename(self._path(aside), self._path(f"{self.path}/{name}"))
-        if not done:
-            self._fs.delete(self._path(aside), True)
+        own = f"_aside-{name}-{uuid.uuid4().hex}"
+        aside, at = self._path(f"{self.path}/{own}"), self._path(f"{self.path}/{name}")
+        rows.coalesce(1).write.parquet(f"{self.path}/{own}")
+        done = not self._fs.exists(at) and self._fs.rename(aside, at)
+        # Where another committer was faster, some stores move the folder into its;
+        # readers pass over such names.
+        late = self._path(f"{self.path}/{name}/{own}")
+        if done and self._fs.exists(late):
+            self._fs.delete(late, True)
+            done = False
+        elif not done:
+            self._fs.delete(aside, True)
         return done
 
     def committed(self, batch: int) -> bool:
