@@ -148,73 +148,112 @@ def by_rows(boxes: DataFrame, threshold: float) -> DataFrame:
     return boxes.groupBy("page").applyInPandas(one, boxes.select("*", F.lit(1).alias("place")).schema)
 
 
-def columned(boxes: DataFrame, most: int = 4, indent: float = 0.12) -> DataFrame:
-    """``boxes`` with ``col_id``: left edges of a page in up to ``most`` clusters by
-    the best silhouette, edges within ``indent`` of the page's width snapped."""
-
-    def split(x: np.ndarray, k: int) -> np.ndarray:
-        centre = np.quantile(x, (np.arange(k) + 0.5) / k)
-        for _ in range(50):
-            own = np.abs(x[:, None] - centre).argmin(1)
-            new = np.array([x[own == i].mean() if (own == i).any() else centre[i] for i in range(k)])
-            if np.allclose(new, centre):
-                break
-            centre = new
-        return np.argsort(np.argsort(centre))[own]
-
-    def silhouette(x: np.ndarray, own: np.ndarray) -> float:
-        kinds = np.unique(own)
-        if len(kinds) < 2:
-            return 0.0
-        far = np.stack([np.abs(x[:, None] - x[own == k]).sum(1) for k in kinds], 1)
-        n = np.array([(own == k).sum() for k in kinds])
-        mine = np.searchsorted(kinds, own)
-        a = far[np.arange(len(x)), mine] / np.maximum(n[mine] - 1, 1)
-        mean = far / n
-        mean[np.arange(len(x)), mine] = np.inf
-        b = mean.min(1)
-        return float(np.where(n[mine] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-9), 0).mean())
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["x0"].to_numpy(float)
-        width = max(float(pdf["x1"].max() - x.min()), 1e-9)
-        snapped = x.copy()
-        for v in np.sort(np.unique(x)):
-            snapped[np.abs(snapped - v) <= indent * width] = v
-        best, own = 0.0, np.zeros(len(x), int)
-        for k in range(2, min(most, len(np.unique(snapped))) + 1):
-            got = split(snapped, k)
-            if (s := silhouette(snapped, got)) > best + 1e-9:
-                best, own = s, got
-        return pdf.assign(col_id=own.astype(np.int32))
+def _best_cuts(x: np.ndarray, w: np.ndarray, most: int) -> list[np.ndarray]:
+    """For 1, 2 ... ``most`` clusters of sorted values with weights the cluster of each
+    value in the division with the least squares."""
+    n, sums = len(x), [np.concatenate([[0.0], np.cumsum(v)]) for v in (w, w * x, w * x * x)]
+    m, s, q = (v[None, :] - v[:, None] for v in sums)
+    cost = np.where(m > 0, q - s * s / np.where(m > 0, m, 1), np.inf)
+    best, back, out = cost[0], [], [np.zeros(n, int)]
+    for k in range(2, min(most, n) + 1):
+        total = best[:, None] + cost
+        back.append(total.argmin(0))
+        best = total.min(0)
+        own, end = np.empty(n, int), n
+        for c in range(k - 1, 0, -1):
+            start = int(back[c - 1][end])
+            own[start:end] = c
+            end = start
+        own[:end] = 0
+        out.append(own)
+    return out
 
-    return boxes.groupBy("page").applyInPandas(one, boxes.select("*", F.lit(0).alias("col_id")).schema)
 
+def _silhouette(x: np.ndarray, w: np.ndarray, own: np.ndarray) -> float:
+    """The mean silhouette of values with weights; a cluster of one counts 0."""
+    each = (own[:, None] == np.arange(own.max() + 1)) * w[:, None]
+    n = each.sum(0)
+    far = np.abs(x[:, None] - x[None, :]) @ each
+    rows = np.arange(len(x))
+    a = far[rows, own] / np.maximum(n[own] - 1, 1)
+    mean = far / n
+    mean[rows, own] = np.inf
+    b = mean.min(1)
+    s = np.where(n[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0.0)
+    return float((s * w).sum() / w.sum())
+
+
+def columns_of(x0: np.ndarray, x1: np.ndarray, most: int = 4, indent: float = 0.12) -> np.ndarray:
+    """The column of each box of a page. Left edges nearer to the leftmost than
+    ``indent`` of the page's width count as it when the number of columns is chosen
+    by the best silhouette; the edges themselves are then divided into as many."""
+    low = x0.min()
+    snapped = np.where(np.abs(x0 - low) < (x1.max() - low) * indent, low, x0)
+    value, weight = np.unique(snapped, return_counts=True)
+    best, k = 0.0, 1
+    if len(value) > 1:
+        for own in _best_cuts(value, weight, min(most, len(x0)))[1:]:
+            if own.max() + 1 < len(x0) and (score := _silhouette(value, weight, own)) > best + 1e-12:
+                best, k = score, int(own.max()) + 1
+    value, place, weight = np.unique(x0, return_inverse=True, return_counts=True)
+    return _best_cuts(value, weight, k)[min(k, len(value)) - 1][place]
 
-def lines(boxes: DataFrame) -> DataFrame:
-    """Words joined to lines: a word whose middle lies within max(2, 0.35 heights)
-    of the line's running middle belongs to it."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list[dict]] = []
-        for r in pdf.sort_values(["top", "x0", "box_id"]).to_dict("records"):
-            mid = (r["top"] + r["bottom"]) / 2
-            for row in reversed(rows):
-                m = sum((q["top"] + q["bottom"]) / 2 for q in row) / len(row)
-                h = sum(q["bottom"] - q["top"] for q in row) / len(row)
-                if abs(mid - m) <= max(2.0, 0.35 * h):
-                    row.append(r)
-                    break
-            else:
-                rows.append([r])
-        out = []
-        for no, row in enumerate(rows):
-            row.sort(key=lambda q: (q["x0"], q["box_id"]))
-            out.append((row[0]["page"], no, " ".join(q["text"] for q in row), min(q["x0"] for q in row), max(q["x1"] for q in row), min(q["top"] for q in row), max(q["bottom"] for q in row), len(row)))
-        return pd.DataFrame(out, columns=["page", "line", "text", "x0", "x1", "top", "bottom", "n_words"])
-
-    kind = boxes.schema["page"].dataType.simpleString()
-    return boxes.groupBy("page").applyInPandas(one, f"page {kind}, line int, text string, x0 double, x1 double, top double, bottom double, n_words int")
+def columned(boxes: DataFrame, most: int = 4, indent: float = 0.12) -> DataFrame:
+    """``boxes`` with ``col_id``, from ``columns_of`` each page. Pages are dealt by a
+    hash and streamed in order, many to a task; a page is held as a whole."""
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for last, batch in _last_told(batches):
+            held.append(batch)
+            page = batch["page"].to_numpy()
+            if not last and (not len(page) or page[0] == page[-1]):
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            page = rows["page"].to_numpy()
+            cut = np.flatnonzero(page[1:] != page[:-1]) + 1
+            upto = len(rows) if last else int(cut[-1])
+            held = [rows.iloc[upto:]]
+            starts = [0, *cut[cut < upto].tolist()]
+            x0, x1 = (rows[c].to_numpy(float) for c in ("x0", "x1"))
+            own = [columns_of(x0[a:z], x1[a:z], most, indent) for a, z in zip(starts, [*starts[1:], upto], strict=True)] if upto else []
+            yield rows.iloc[:upto].assign(col_id=np.concatenate(own).astype(np.int32) if own else np.zeros(0, np.int32))
+
+    dealt = boxes.repartition("page").sortWithinPartitions("page")
+    return dealt.mapInPandas(pages, boxes.select("*", F.lit(0).alias("col_id")).schema)
+
+
+def _last_told(items: Iterator) -> Iterator[tuple[bool, object]]:
+    """(whether it is the last, item)."""
+    none = object()
+    before = none
+    for x in items:
+        if before is not none:
+            yield False, before
+        before = x
+    if before is not none:
+        yield True, before
+
+
+def lines(words: DataFrame) -> DataFrame:
+    """(page, line, text, n_words): words in the order of top and left edge joined to
+    lines. A word goes to the last line if its middle is within max(2, 0.35 times the
+    line's greatest height) of that of the line's first word, else it opens one;
+    blank words are left out."""
+    kept = words.withColumn("text", F.trim("text")).filter("text <> ''")
+    rows = kept.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "box_id", "bottom", "text"))).alias("words"))
+    line = "array<struct<mid:double,height:double,text:string,n_words:int>>"
+
+    def step(out: Column, w: Column) -> Column:
+        mid, height, last = (w["top"] + w["bottom"]) / 2, w["bottom"] - w["top"], F.try_element_at(out, F.lit(-1))
+        near = F.coalesce(F.abs(mid - last["mid"]) <= F.greatest(F.lit(2.0), last["height"] * 0.35), F.lit(False))
+        more = F.struct(last["mid"].alias("mid"), F.greatest(last["height"], height).alias("height"), F.concat_ws(" ", last["text"], w["text"]).alias("text"), (last["n_words"] + 1).alias("n_words"))
+        new = F.struct(mid.alias("mid"), height.alias("height"), w["text"].alias("text"), F.lit(1).alias("n_words"))
+        return F.when(near, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(out, F.array(new)))
+
+    made = rows.select("page", F.posexplode(F.aggregate("words", F.array().cast(line), step)).alias("line", "l"))
+    return made.select("page", "line", "l.text", "l.n_words")
 
 
 def grid(cells: Iterator[dict], tall: float = 0.5) -> list[list[str]]:

@@ -46,11 +46,13 @@ def expired(df: DataFrame, age: Column, as_of: Column, days: int, keep_latest: i
     if on_kept:
         rows = rows.filter("_old")
     if keep_latest > 0:
-        # The newest few come from a top-k, not from ordering all rows in one task.
-        key = list(order)
-        newest = rows.orderBy(*key).limit(keep_latest)
-        ids = [c for c in df.columns]
-        rows = rows.join(newest.select(*ids), ids, "left_anti")
+        # The newest few come from a top-k, not from ordering all rows in one task. Nulls
+        # are equal here, and of equal rows only as many stay as are among the newest.
+        names = [f"_k{i}" for i in range(len(df.columns))]
+        newest = rows.orderBy(*order).limit(keep_latest).groupBy(*df.columns).agg(F.count("*").alias("_stay")).toDF(*names, "_stay")
+        same = [rows[c].eqNullSafe(newest[n]) for c, n in zip(df.columns, names, strict=True)]
+        tied = rows.join(newest, same).withColumn("_no", F.row_number().over(Window.partitionBy(*df.columns).orderBy(F.lit(1))))
+        rows = rows.join(newest, same, "left_anti").unionByName(tied.filter("_no > _stay").select(*rows.columns))
     return rows.filter("_old").drop("_old")
 
 

@@ -171,6 +171,15 @@ def so11(spark, d):
     return g.columned(boxes(spark, d)).select("page", "box_id", "col_id")
 
 
-@query("wn07_text_lines")
+LINES_OF_WORDS_SQL = f"""WITH RECURSIVE w AS (SELECT page, text, (top + bottom) / 2 AS mid, bottom - top AS h, row_number() OVER (PARTITION BY page ORDER BY top, x0, box_id, bottom) AS i FROM ({BOXES_SQL.replace('14.0::DOUBLE + 10.0', '5.0::DOUBLE + 10.0').replace('l_linenumber * 14.0::DOUBLE AS top', 'l_linenumber * 5.0::DOUBLE AS top')})),
+r AS (SELECT page, i, 0 AS line, mid, h, text, 1 AS n_words FROM w WHERE i = 1
+UNION ALL SELECT w.page, w.i, CASE WHEN near THEN r.line ELSE r.line + 1 END, CASE WHEN near THEN r.mid ELSE w.mid END, CASE WHEN near THEN greatest(r.h, w.h) ELSE w.h END, CASE WHEN near THEN r.text || ' ' || w.text ELSE w.text END, CASE WHEN near THEN r.n_words + 1 ELSE 1 END
+FROM r JOIN w ON w.page = r.page AND w.i = r.i + 1, LATERAL (SELECT abs(w.mid - r.mid) <= greatest(2.0, r.h * 0.35) AS near))
+SELECT page, line::INT AS line, arg_max(text, n_words) AS text, max(n_words)::INT AS n_words FROM r GROUP BY page, line"""
+
+
+@query("wn07_text_lines", LINES_OF_WORDS_SQL)
 def wn07(spark, d):
-    return g.lines(boxes(spark, d)).select("page", "line", "text", "n_words")
+    """Rows 5 points apart, so that the first word's middle decides."""
+    words = read(spark, d, "lineitem").selectExpr(KEY, *BOX.replace("l_linenumber * 14.0D", "l_linenumber * 5.0D").split(", "))
+    return g.lines(words)

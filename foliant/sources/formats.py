@@ -13,6 +13,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from email import message_from_bytes, policy
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
@@ -94,35 +95,71 @@ def is_json_lines(text: str, sample: int = 10, least: float = 0.8) -> bool:
     return bool(lines) and sum(map(fits, lines)) / len(lines) >= least
 
 
+@dataclass
+class _Json:
+    """A value of a document, lists as objects by index, with its printed length."""
+
+    value: object
+    length: int
+    kids: dict[str, _Json] | None = None
+
+    @classmethod
+    def of(cls, value) -> _Json:
+        pairs = value.items() if isinstance(value, dict) else ((str(i), x) for i, x in enumerate(value)) if isinstance(value, list) else None
+        if pairs is None:
+            return cls(value, len(json.dumps(value, ensure_ascii=False)))
+        kids = {str(k): cls.of(x) for k, x in pairs}
+        entries = sum(_entry(k, x.length) for k, x in kids.items())
+        return cls({k: x.value for k, x in kids.items()}, 2 + entries + 2 * max(0, len(kids) - 1), kids)
+
+
+def _entry(key: str, length: int) -> int:
+    return len(json.dumps(key, ensure_ascii=False)) + 2 + length
+
+
+class _Part:
+    """An object that grows by paths; its printed length is kept, not measured again."""
+
+    def __init__(self):
+        self.root: dict = {}
+        self.length = 2
+
+    def add(self, path: tuple[str, ...], node: _Json) -> None:
+        at, depth = self.root, 0
+        while depth < len(path) - 1 and path[depth] in at:
+            at, depth = at[path[depth]], depth + 1
+        self.length += 2 if at else 0
+        value, length = node.value, node.length
+        for key in reversed(path[depth + 1 :]):
+            value, length = {key: value}, 2 + _entry(key, length)
+        at[path[depth]] = value
+        self.length += _entry(path[depth], length)
+
+
 def json_parts(value, most: int = 4000, least: int | None = None) -> list[dict]:
     """A value cut along its structure into dicts of about ``most`` characters;
-    lists become dicts by index, and every part keeps the path to what it holds."""
+    lists become dicts by index, and every part keeps the path to what it holds.
+
+    Lengths are found once from the leaves up. Then one pass in order puts what fits
+    into the part at hand; what doesn't is opened, and from ``least`` characters on a
+    new part begins first."""
     least = max(most - 200, 50) if least is None else least
-    size = lambda x: len(json.dumps(x, ensure_ascii=False))
-    flat = lambda x: {str(i): flat(v) for i, v in enumerate(x)} if isinstance(x, list) else {k: flat(v) for k, v in x.items()} if isinstance(x, dict) else x
-    parts: list[dict] = [{}]
-
-    def put(path: list[str], v) -> None:
-        at = parts[-1]
-        for k in path[:-1]:
-            at = at.setdefault(k, {})
-        at[path[-1]] = v
-
-    def walk(v, path: list[str]) -> None:
-        if not isinstance(v, dict):
-            put(path or ["value"], v)
-            return
-        for k, x in v.items():
-            used, n = size(parts[-1]), size({k: x})
-            if n < most - used:
-                put([*path, k], x)
+    top, parts = _Json.of(value), [_Part()]
+    waiting = [((), top)] if top.kids is not None else [(("value",), top)]
+    while waiting:
+        path, node = waiting.pop()
+        if path:
+            room = most - parts[-1].length
+            if 2 + _entry(path[-1], node.length) < room or top.kids is None:
+                parts[-1].add(path, node)
                 continue
-            if used >= least:
-                parts.append({})
-            walk(x, [*path, k])
-
-    walk(flat(value), [])
-    return [p for p in parts if p]
+            if parts[-1].length >= least:
+                parts.append(_Part())
+            if node.kids is None:
+                parts[-1].add(path, node)
+                continue
+        waiting += [((*path, k), x) for k, x in reversed(node.kids.items())]
+    return [p.root for p in parts if p.root]
 
 
 def json_blocks(data: bytes, name: str = "", most: int = 4000) -> list[dict]:

@@ -80,3 +80,76 @@ def test_boxes(spark):
     grid = geometry.grid(cells)
     assert grid == [["00", "500"], ["020", "5020"]] and geometry.grid_sentences(grid) == ["00：020; 500：5020"]
     assert geometry.grid_html(grid) == "<table><tr><th>00</th><th>500</th></tr><tr><td>020</td><td>5020</td></tr></table>"
+
+
+def test_columns_by_brute_force():
+    import itertools
+
+    rng = __import__("random").Random(3)
+
+    def squares(v):
+        return sum((a - sum(v) / len(v)) ** 2 for a in v)
+
+    def plain_silhouette(x, own):
+        total = 0.0
+        for i, a in enumerate(x):
+            mine = [abs(a - b) for j, b in enumerate(x) if own[j] == own[i] and j != i]
+            others = [sum(abs(a - b) for j, b in enumerate(x) if own[j] == c) / own.count(c) for c in set(own) if c != own[i]]
+            if mine:
+                p, q = sum(mine) / len(mine), min(others)
+                total += (q - p) / max(p, q) if max(p, q) > 0 else 0
+        return total / len(x)
+
+    def divided(x, k):
+        v = sorted(set(x))
+        best = min((sum(squares([a for a in x if v[s] <= a <= v[e - 1]]) for s, e in zip((0, *c), (*c, len(v)))), c) for c in itertools.combinations(range(1, len(v)), k - 1))[1]
+        return [sum(v.index(a) >= s for s in best) for a in x]
+
+    for _ in range(150):
+        x = [float(rng.choice([0, 5, 8, 100, 104, 210, 215, 300])) for _ in range(rng.randrange(1, 8))]
+        low, wide = min(x), max(x) + 60 - min(x)
+        snapped = [low if abs(a - low) < 0.12 * wide else a for a in x]
+        scores = [(0.0, -1)]
+        for k in range(2, min(4, len(x), len(set(snapped))) + 1):
+            if k < len(x):
+                scores.append((round(plain_silhouette(snapped, divided(snapped, k)), 9), -k))
+        k = -max(scores)[1]
+        import numpy as np
+
+        assert geometry.columns_of(np.array(x), np.array(x) + 60).tolist() == divided(x, k)
+
+
+def test_retention_with_nulls_and_equal_rows(spark):
+    rows = [(9, None), (8, None), (7, "x"), (8, None), (1, "x"), (1, "x")]
+    df = spark.createDataFrame(rows, "at int, note string").withColumn("ts", F.timestamp_seconds("at"))
+    old = lambda keep: sorted((r.at, r.note) for r in operations.expired(df, F.col("ts"), F.lit("2024-01-01").cast("timestamp"), 1, keep, [F.desc("ts"), F.desc("note")]).collect())
+    assert old(2) == [(1, "x"), (1, "x"), (7, "x"), (8, None)] and old(5) == [(1, "x")] and old(9) == []
+
+
+def test_json_parts():
+    import json
+    import random
+
+    from foliant.sources.formats import json_parts
+
+    rng = random.Random(4)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["x" * rng.randrange(40), rng.randrange(1000), None, True, "é\"" * 5])
+        return [made(depth - 1) for _ in range(rng.randrange(5))] if rng.random() < 0.4 else {f"k{i}": made(depth - 1) for i in range(rng.randrange(5))}
+
+    def leaves(v, path=()):
+        if isinstance(v, list):
+            v = {str(i): x for i, x in enumerate(v)}
+        if isinstance(v, dict):
+            return [y for k, x in v.items() for y in leaves(x, (*path, k))]
+        return [(path, v)]
+
+    for _ in range(300):
+        value = {"top": made(4), "more": made(4)}
+        parts = json_parts(value, 120)
+        assert [y for p in parts for y in leaves(p)] == leaves(value)
+        assert all(p for p in parts) and all(len(json.dumps(p, ensure_ascii=False)) >= 50 for p in parts[:-1])
+    assert json_parts({"a": {"b": 1}, "c": [1, 2]}) == [{"a": {"b": 1}, "c": {"0": 1, "1": 2}}]
+    assert json_parts("x") == [{"value": "x"}] and json_parts({}) == [] and len(json_parts({str(i): "y" * 30 for i in range(20)}, 100)) > 5
