@@ -390,6 +390,37 @@ def docx(data: bytes, name: str = "") -> list[dict]:
     return out
 
 
+def xlsx(data: bytes) -> dict[str, list[list[str | None]]]:
+    """The sheets of a workbook as rows of texts, by name; what isn't a workbook is
+    read as delimited rows. Empty rows at the end are left out."""
+    if not data.startswith(b"PK"):
+        return {"Sheet1": delimited_rows(decoded(data))[0]}
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = set(z.namelist())
+        tree = lambda name: ET.fromstring(z.read(name))
+        shared = ["".join(t.text or "" for t in si.iter() if _tag(t) == "t") for si in tree("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
+        places = {_attr(r, "Id"): _attr(r, "Target").lstrip("/").removeprefix("xl/") for r in tree("xl/_rels/workbook.xml.rels")}
+        sheets = [(_attr(e, "name"), places[_attr(e, "id")]) for e in tree("xl/workbook.xml").iter() if _tag(e) == "sheet"]
+        return {name: _sheet_rows(tree(f"xl/{at}"), shared) for name, at in sheets if f"xl/{at}" in names}
+
+
+def _sheet_rows(sheet: ET.Element, shared: list[str]) -> list[list[str | None]]:
+    rows: dict[int, dict[int, str]] = {}
+    for r, row in enumerate((e for e in sheet.iter() if _tag(e) == "row"), 1):
+        no = int(_attr(row, "r") or r)
+        for c, cell in enumerate(row, 1):
+            letters = re.match(r"[A-Z]*", _attr(cell, "r") or "").group()
+            column = 0
+            for x in letters:
+                column = column * 26 + ord(x) - 64
+            kind, texts = _attr(cell, "t"), ["".join(e.itertext()) for e in cell if _tag(e) in ("v", "is")]
+            if texts and texts[0].strip():
+                text = shared[int(texts[0])] if kind == "s" else {"1": "TRUE", "0": "FALSE"}.get(texts[0], texts[0]) if kind == "b" else texts[0]
+                rows.setdefault(no, {})[column or c] = text
+    wide = max((max(r) for r in rows.values()), default=0)
+    return [[rows.get(n, {}).get(c) for c in range(1, wide + 1)] for n in range(1, max(rows, default=0) + 1)]
+
+
 def pptx(data: bytes, name: str = "") -> list[dict]:
     """Slides: shapes by height in tenths, then left; bullets indented by level."""
     out = []

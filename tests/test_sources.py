@@ -83,3 +83,24 @@ def test_folder(spark, tmp_path):
     good = sorted((r.file_type, r.pos, r.block_type) for r in rows if r.error is None)
     assert good == [("csv", 0, "table"), ("md", 0, "title"), ("md", 1, "text")]
     assert {r.file_type for r in rows if r.error} == {"odt", "exe"}
+
+
+def test_workbooks(spark):
+    import io
+    import zipfile
+
+    from foliant.operators import sheets
+    from foliant.sources.formats import xlsx
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Prices" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>name</t></si><si><r><t>pr</t></r><r><t>ice</t></r></si><si><t>tea</t></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="3"><c r="A3" t="s"><v>2</v></c><c r="B3" t="b"><v>1</v></c><c r="C3"><v>2.5</v></c></row><row r="4"><c r="A4"/></row></sheetData></worksheet>')
+    want = [["name", None, "price"], [None, None, None], ["tea", "TRUE", "2.5"]]
+    assert xlsx(data.getvalue()) == {"Prices": want} and xlsx(b"a,b\n1,2\n") == {"Sheet1": [["a", "b"], ["1", "2"]]}
+    rows = sheets.xlsx_rows(spark.createDataFrame([("p", bytearray(data.getvalue()))], "path string, content binary"))
+    assert [r.line for r in sheets.sentences(rows).collect()] == ["name：tea; TRUE; price：2.5 ——Prices"]
+    assert sheets.actual_rows(rows).first().n_rows == 3
