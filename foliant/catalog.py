@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import documents, evaluation, exports, geometry, operations, rules, sheets, store, text
+from foliant.plans import documents, evaluation, exports, geometry, layout, lifecycle, operations, rules, sheets, store, text
 from foliant.registry import ORACLES, QUERIES, Query
 
-MODULES = (text, documents, store, operations, evaluation, geometry, rules, exports, sheets)
+MODULES = (text, documents, store, operations, evaluation, geometry, rules, exports, sheets, lifecycle, layout)
 
 
 def queries() -> dict[str, Query]:

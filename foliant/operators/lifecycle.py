@@ -37,7 +37,7 @@ def cancelled(tasks: DataFrame, wanted: Column, as_of: Column) -> DataFrame:
     once, what runs is asked to stop, what is over stays."""
     now = F.when(wanted & (F.col("status") == "queued"), "cancelled").when(wanted & (F.col("status") == "running"), "cancel_requested").otherwise(F.col("status"))
     rows = tasks.withColumn("_new", now)
-    return rows.withColumns({"changed": F.col("_new") != F.col("status"), "finished_at": F.when(F.col("_new") == "cancelled", F.coalesce("finished_at", as_of)).otherwise(F.col("finished_at")), "status": F.col("_new")}).drop("_new")
+    return rows.withColumns({"changed": F.col("_new") != F.col("status"), "finished_at": F.when((F.col("_new") == "cancelled") & (F.col("status") != "cancelled"), F.coalesce("finished_at", as_of)).otherwise(F.col("finished_at")), "status": F.col("_new")}).drop("_new")
 
 
 def self_check(steps: DataFrame, run: str) -> DataFrame:

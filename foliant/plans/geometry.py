@@ -119,16 +119,6 @@ def wn10(spark, d):
     return g.islands(lines, ["doc_id"], ["no"], F.lag("mark").over(w) == F.col("mark")).groupBy("doc_id", "island").agg(F.count("*").alias("n"))
 
 
-@query("wn11_table_chains", """WITH p AS (SELECT o_custkey AS doc, o_orderkey AS page, o_orderdate AS made, o_orderkey % 3 AS width FROM orders),
-k AS (SELECT *, CASE WHEN made - lag(made) OVER w <= INTERVAL 90 DAY AND lag(width) OVER w = width THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY doc ORDER BY made, page)), s AS (SELECT doc, sum(new) OVER (PARTITION BY doc ORDER BY made, page) AS chain FROM k)
-SELECT doc, chain::BIGINT AS chain, count(*) AS n FROM s GROUP BY ALL""")
-def wn11(spark, d):
-    tables = read(spark, d, "orders").selectExpr("o_custkey AS doc", "o_orderkey AS page", "o_orderdate AS at", "o_orderkey % 3 AS width")
-    w = Window.partitionBy("doc").orderBy("at", "page")
-    joins = (F.col("at") - F.lag("at").over(w) <= F.expr("INTERVAL 90 DAYS")) & (F.lag("width").over(w) == F.col("width"))
-    return g.islands(tables, ["doc"], ["at", "page"], joins).groupBy("doc", F.col("island").alias("chain")).agg(F.count("*").alias("n"))
-
-
 ROUTE_SQL = """SELECT page_id, CASE WHEN chars >= 80 AND font_share >= 0.8 AND NOT max_image_share >= 0.85 AND image_share < 0.3 THEN 'clean' WHEN NOT (chars >= 80 AND font_share >= 0.8) AND (max_image_share >= 0.85 OR chars < 20) THEN 'scanned' ELSE 'mixed' END AS route
 FROM (SELECT page_id, length(html) % 200 AS chars, (page_id % 10) / 9.0 AS font_share, (page_id % 7) / 10.0 AS image_share, (page_id % 12) / 12.0 AS max_image_share FROM pages)"""
 

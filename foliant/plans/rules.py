@@ -111,14 +111,6 @@ def jn07(spark, d):
     return near.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
 
 
-@query("wn08_continuations", f"SELECT page, box_id FROM (SELECT page, box_id, text, lag(text) OVER w AS up, x0 - lag(x0) OVER w AS dx, top - lag(bottom) OVER w AS gap FROM ({BOXES_SQL}) WINDOW w AS (PARTITION BY page ORDER BY top, x0, box_id)) WHERE gap <= 23 AND abs(dx) <= 200 AND up = text")
-def wn08(spark, d):
-    """Boxes that may continue the box before them."""
-    w = Window.partitionBy("page").orderBy("top", "x0", "box_id")
-    rows = boxes(spark, d).withColumns({"up": F.lag("text").over(w), "dx": F.col("x0") - F.lag("x0").over(w), "gap": F.col("top") - F.lag("bottom").over(w)})
-    return rows.filter((F.col("gap") <= 23) & (F.abs("dx") <= 200) & (F.col("up") == F.col("text"))).select("page", "box_id")
-
-
 @query("so12_keep_latest", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn > 20")
 def so12(spark, d):
     rn = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
