@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +25,15 @@ def multiset_scores(seen: DataFrame, true: DataFrame, sample: str, item: str) ->
 
 def word_distance(a: Sequence, b: Sequence) -> int:
     """Edit distance of two sequences."""
-    row = list(range(len(b) + 1))
+    names: dict = {}
+    a, b = (np.array([names.setdefault(x, len(names)) for x in s], np.int64) for s in (a, b))
+    at = np.arange(len(b) + 1)
+    row = at.copy()
     for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (b != x))])
+        # Insertions: the least of all to the left, one more for each step.
+        row = np.minimum.accumulate(new - at) + at
+    return int(row[-1])
 
 
 @F.pandas_udf(DoubleType())
@@ -128,3 +132,38 @@ def table_similarity(seen: pd.Series, true: pd.Series) -> pd.Series:
         return 1.0 - tree_distance(a, b) / max(n(a), n(b))
 
     return pd.Series([one(x, y) for x, y in zip(seen, true, strict=True)])
+
+
+def field_hits(fields: DataFrame, blocks: DataFrame, sample: str) -> DataFrame:
+    """Fields (value, pages) whose value stands in a block (text, pages) of their sample
+    that shares a page, or where the pages of either aren't known."""
+    flat = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+    wanted = fields.filter(F.trim(F.coalesce("value", F.lit(""))) != "")
+    b = blocks.filter(F.trim(F.coalesce("text", F.lit(""))) != "").select(F.col(sample).alias("_s"), flat(F.col("text")).alias("_text"), F.col("pages").alias("_pages"))
+    shared = (F.size("pages") == 0) | (F.size("_pages") == 0) | F.arrays_overlap("pages", "_pages")
+    return wanted.join(b, (F.col(sample) == F.col("_s")) & F.contains(F.col("_text"), flat(F.col("value"))) & shared, "left_semi")
+
+
+def matched_blocks(expected: DataFrame, seen: DataFrame, sample: str) -> DataFrame:
+    """(sample, n_expected, n_seen, n_matched): in order, each expected block (no, kind,
+    text) takes the first block seen that is free, of its kind, and has the text or is
+    part of it."""
+    row = lambda n: F.array_sort(F.collect_list(F.struct("no", "kind", "text"))).alias(n)
+    both = expected.groupBy(sample).agg(row("_e")).join(seen.groupBy(sample).agg(row("_s")), sample, "full")
+    empty = F.array().cast("array<struct<no:bigint,kind:string,text:string>>")
+    e, s = (F.transform(F.coalesce(c, empty), lambda x: x.cast("struct<no:bigint,kind:string,text:string>")) for c in ("_e", "_s"))
+
+    def take(free: Column, x: Column) -> Column:
+        fits = F.filter(free, lambda y: (y["kind"] == x["kind"]) & (F.contains(y["text"], x["text"]) | F.contains(x["text"], y["text"])))
+        return F.when(F.size(fits) > 0, F.filter(free, lambda y: y["no"] != F.get(fits, 0)["no"])).otherwise(free)
+
+    out = both.select(sample, F.size(e).alias("n_expected"), F.size(s).alias("n_seen"), F.aggregate(e, s, take).alias("free"))
+    return out.select(sample, "n_expected", "n_seen", (F.col("n_seen") - F.size("free")).alias("n_matched"))
+
+
+def dataset_report(samples: DataFrame, metrics: Sequence[str], metric_tables: Sequence[DataFrame], sample: str) -> tuple[DataFrame, DataFrame]:
+    """(per sample, summary) of metric tables joined by sample; missing ones are null."""
+    out = samples.select(sample).distinct()
+    for m in metric_tables:
+        out = out.join(m, sample, "left")
+    return out, summary(out, metrics)

@@ -58,21 +58,46 @@ def joined_refs(rows: DataFrame, refs: str, known: DataFrame, key: str, id_col:
     return rows.select(id_col).join(got, id_col, "left").select(id_col, F.transform(F.coalesce("_f", F.array().cast(got.schema["_f"].dataType)), lambda x: x[key]).alias("found"))
 
 
-def chain(nodes: DataFrame, id_col: str, parent_col: str, name_col: str, most: int = 16) -> DataFrame:
-    """(id, path) of each node from the top, by repeated joins to its parent."""
-    up = nodes.select(F.col(id_col).alias("_id"), F.col(parent_col).alias("_up"), F.col(name_col).alias("_name"))
-    now = nodes.select(id_col, F.array(F.col(name_col)).alias("path"), F.col(parent_col).alias("_next"))
-    for _ in range(most):
-        if now.filter(F.col("_next").isNotNull()).isEmpty():
-            break
-        now = now.join(up, now["_next"] == up["_id"], "left").select(id_col, F.when(F.col("_name").isNotNull(), F.concat(F.array("_name"), "path")).otherwise(F.col("path")).alias("path"), F.col("_up").alias("_next"))
-    return now.select(id_col, "path")
+def chain(nodes: DataFrame, id_col: str, parent_col: str, name_col: str) -> DataFrame:
+    """(id, path) of each node from the top. Paths double each round: a row that ends at
+    a node takes on that node's own path, so few rounds reach any depth. A parent that
+    isn't there ends a path; a cycle is an error."""
+    now = settled(nodes.select(F.col(id_col).alias("_id"), F.array(F.col(name_col)).alias("path"), F.col(parent_col).alias("_next")))
+    most, reached = now.count(), 1
+    while now.filter(F.col("_next").isNotNull()).limit(1).count():
+        if reached > most:
+            raise ValueError("nodes are their own ancestors")
+        up = now.select(F.col("_id").alias("_up"), F.col("path").alias("_path"), F.col("_next").alias("_then"))
+        now = settled(now.join(up, F.col("_next") == F.col("_up"), "left").select("_id", F.when(F.col("_up").isNotNull(), F.concat("_path", "path")).otherwise(F.col("path")).alias("path"), F.col("_then").alias("_next")))
+        reached *= 2
+    return now.select(F.col("_id").alias(id_col), "path")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder that the cluster shares
+    (``spark.checkpoint.dir``), so that lost executors can't change it."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: Sequence, name: str = "place") -> DataFrame:
+    """``df`` with its place from 0 in an order, without one task for all rows: ranges
+    are ordered on their own, and begin at the counts of those before."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    kept = settled(ranged).withColumns({"_part": F.shiftright("_id", 33), "_in": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = kept.groupBy("_part").count().withColumn("_base", F.sum("count").over(Window.orderBy("_part")) - F.col("count"))
+    return kept.join(F.broadcast(counts.select(F.col("_part").alias("_p"), "_base")), F.col("_part") == F.col("_p")).withColumn(name, F.col("_in") + F.col("_base")).drop("_id", "_part", "_in", "_p", "_base")
 
 
 def one_to_one(a: DataFrame, b: DataFrame, order_a: Sequence, order_b: Sequence, how: str = "inner") -> DataFrame:
     """Rows of two tables paired by their place in the order."""
-    number = lambda df, order: df.withColumn("_no", F.row_number().over(Window.orderBy(*order)))
-    return number(a, order_a).join(number(b, order_b), "_no", how).drop("_no")
+    return numbered(a, order_a, "_no").join(numbered(b, order_b, "_no"), "_no", how).drop("_no")
 
 
 def shares(counts: Mapping[str, Column]) -> list[Column]:

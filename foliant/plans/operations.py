@@ -130,13 +130,11 @@ def ag09(spark, d):
 
 @query("ag10_page_dispatch", "SELECT device, count(*) AS n, count(*) FILTER (WHERE length(html) > 1500) AS n_long FROM (SELECT html, (row_number() OVER (ORDER BY page_id) - 1) % 2 AS device FROM pages) GROUP BY device")
 def ag10(spark, d):
-    # Round-robin by place in the order of ids: a range partitioning numbers places
-    # in parallel, from the counts of the parts before.
+    # Round-robin by place in the order of ids.
+    from foliant.operators.store import numbered
+
     pages = read(spark, d, "pages").select("page_id", F.length("html").alias("n"))
-    part = pages.repartitionByRange("page_id").sortWithinPartitions("page_id").withColumn("part", F.spark_partition_id())
-    base = part.groupBy("part").count().withColumn("base", F.sum("count").over(Window.orderBy("part")) - F.col("count"))
-    no = F.row_number().over(Window.partitionBy("part").orderBy("page_id")) - 1 + F.col("base")
-    return part.join(base.drop("count"), "part").withColumn("device", no % 2).groupBy("device").agg(F.count("*").alias("n"), F.count_if(F.col("n") > 1500).alias("n_long"))
+    return numbered(pages, ["page_id"]).withColumn("device", F.col("place") % 2).groupBy("device").agg(F.count("*").alias("n"), F.count_if(F.col("n") > 1500).alias("n_long"))
 
 
 @query("ag22_stage_timings", "SELECT event_type AS stage, round(total, 6) AS total, n, round(total / sum(total) OVER (), 9) AS share, row_number() OVER (ORDER BY total DESC, event_type) AS rank FROM (SELECT event_type, sum(value) AS total, count(*) AS n FROM events GROUP BY event_type)")
