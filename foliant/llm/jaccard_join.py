@@ -3,9 +3,11 @@
 Each document is a sparse row over the n-grams (64-bit hashes of its word
 shingles). Documents with equal rows become one class. The columns are cut into
 K blocks of the hash range, K from the size of a row. Rows that link at p
-percent differ in at most d = a * (100 - p) / p entries, a the smaller size; there
-are d + 2 blocks, so two of them are equal in both rows at least. Rows equal in a
-block are brought together and pairs are discarded by bounds that follow from
+percent differ in at most d = a * (100 - p) / p entries, a the smaller size; up
+to d = 62 there are d + 2 blocks, so two of them are equal in both rows. Longer
+rows have d / 1.6 blocks: as hashes deal the differences evenly, a pair just at
+the threshold misses all its blocks with a chance below 1e-6 (with d + 2 blocks of
+four entries many are empty or alike by chance). Rows equal in a block are brought together and pairs are discarded by bounds that follow from
 sizes alone: two rows differ in at least as many entries as their parity
 sketches have distance, and may in (a + b) * (100 - p) / (100 + p). The rest are
 multiplied in blocks of one row by many, overlap counts are accumulated, and a
@@ -75,7 +77,7 @@ def class_of(n: int, percent: int) -> int:
 
 def blocks_of(c: int, percent: int) -> int:
     d = differing(bounds(percent)[c + 1] - 1, percent)
-    return d + 2
+    return max(min(d + 2, 64), d * 10 // 16)
 
 
 def classes(n: int, percent: int) -> list[int]:
