@@ -220,7 +220,9 @@ def columned(boxes: DataFrame, most: int = 4, indent: float = 0.12) -> DataFrame
             own = [columns_of(x0[a:z], x1[a:z], most, indent) for a, z in zip(starts, [*starts[1:], upto], strict=True)] if upto else []
             yield rows.iloc[:upto].assign(col_id=np.concatenate(own).astype(np.int32) if own else np.zeros(0, np.int32))
 
-    dealt = boxes.repartition("page").sortWithinPartitions("page")
+    # A stated number, as small inputs would otherwise be put into one task.
+    n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = boxes.repartition(n, "page").sortWithinPartitions("page")
     return dealt.mapInPandas(pages, boxes.select("*", F.lit(0).alias("col_id")).schema)
 
 

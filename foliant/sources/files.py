@@ -20,12 +20,14 @@ def blocks(spark: SparkSession, path: str, parsers: dict[str, Callable] | None =
     """Blocks of all files below ``path``, a task for each batch of files.
 
     A file of unknown type, too large, or that its parser refuses is one row with
-    ``error``; ``document_id`` is the SHA-256 of its bytes. ``parsers`` adds or
+    ``error``; ``document_id`` is the SHA-256 of its bytes (null if they weren't read). ``parsers`` adds or
     replaces formats, such as those that need a library."""
     known = formats.PARSERS | (parsers or {})
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    large = F.col("length") > most_bytes
-    slim = files.select("path", F.when(~large, F.col("content")).alias("content"), F.sha2("content", 256).alias("document_id"), large.alias("large"))
+    # The filter on the length reaches the scan, so that large files aren't read.
+    small = files.filter(F.col("length") <= most_bytes).select("path", "content", F.sha2("content", 256).alias("document_id"), F.lit(False).alias("large"))
+    large = files.filter(F.col("length") > most_bytes).select("path", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("document_id"), F.lit(True).alias("large"))
+    slim = small.unionByName(large)
 
     def parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in BLOCKS.split(", ")]

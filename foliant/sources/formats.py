@@ -468,8 +468,10 @@ def eml(data: bytes, name: str = "") -> list[dict]:
 
 
 def msg(data: bytes, name: str = "") -> list[dict]:
-    """A message saved as text; binary ones need a library and give nothing."""
-    return [] if data.startswith(b"\xd0\xcf\x11\xe0") else _lined(re.sub(r"(?im)^(subject|title):\s*", "", decoded(data)))
+    """A message saved as text; binary ones need a library and are refused."""
+    if data.startswith(b"\xd0\xcf\x11\xe0"):
+        raise ValueError("binary messages need a parser of their own")
+    return _lined(re.sub(r"(?im)^(subject|title):\s*", "", decoded(data)))
 
 
 PARSERS = {"csv": delimited, "tsv": delimited, "json": json_blocks, "jsonl": json_blocks, "html": html_blocks, "htm": html_blocks, "md": markdown_blocks, "markdown": markdown_blocks, "txt": plain, "log": plain, "rtf": rtf, "odt": odt, "epub": epub, "docx": docx, "pptx": pptx, "eml": eml, "msg": msg}
