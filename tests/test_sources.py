@@ -3,6 +3,8 @@ import json
 import zipfile
 from email.message import EmailMessage
 
+import pytest
+
 from foliant.sources import files
 from foliant.sources import formats as f
 
@@ -52,7 +54,9 @@ def test_mail_and_rtf():
     b = f.eml(m.as_bytes())
     assert kinds(b) == ["title", "text", "list", "text"] and b[3]["role"] == "attachment_text" and "contract.pdf" in b[2]["text"]
     assert kinds(f.rtf(rb"{\rtf1\ansi{\fonttbl\f0 Arial;}\f0 Title here\par First one\par Second\par}")) == ["title", "text", "text"]
-    assert f.msg(b"Subject: MSG Fallback Notice\nbody line\n")[0]["text"] == "MSG Fallback Notice" and f.msg(b"\xd0\xcf\x11\xe0") == []
+    assert f.msg(b"Subject: MSG Fallback Notice\nbody line\n")[0]["text"] == "MSG Fallback Notice"
+    with pytest.raises(ValueError):
+        f.msg(b"\xd0\xcf\x11\xe0")
 
 
 def test_zipped_formats():
