@@ -48,3 +48,22 @@ def test_stages(spark):
     for i, r in mixed.items():
         ids = np.array(sp.encode(r.text), "<u4")
         assert (told[i].n_tokens, told[i].ids_crc32, told[i].round_trip) == (len(ids), zlib.crc32(ids.tobytes()), True)
+
+
+CLASHING = ("score", "margin", "rejected", "lang_pred", "domain", "quarters", "epoch")
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_columns_of_any_name_pass(spark, odd_docs, no_docs, empty):
+    """Nulls, empty and repeated rows, an empty table, and names that operators use."""
+    from pyspark.sql import functions as F
+
+    docs = (no_docs if empty else odd_docs).drop(*CLASHING)
+    docs = written(docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING}), "odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = written(stage(spark, docs, SF), name)
+        assert after.columns == docs.columns and after.count() <= docs.count()
+        for r in after.collect():
+            assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for c in CLASHING), name
+        docs = after
+    assert empty == (docs.count() == 0)
