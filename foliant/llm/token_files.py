@@ -23,6 +23,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
 class Encoder:
     """Whole texts to ids by the tokenizers library.
 
-    The vocabulary drops white space, so the blanks ``[ \\t\\r\\n]`` never lie
+    The vocabulary drops white space, so ASCII white space never lies
     within a token: texts are cut there, each distinct word of a slice is
     encoded once by the library and remembered, and the ids are put together by
     position. Words of plain Latin letters are cut further by the vocabulary's
@@ -101,23 +102,34 @@ class Encoder:
         return "<|" not in word and (word.isascii() or (max(word) <= "ɏ" and "İ" not in word and unicodedata.is_normalized("NFC", word)))
 
     def _learn(self, new: list[str]) -> None:
-        cut = {w: self.cut.findall(w.lower()) for w in new if self._plain(w)}
-        fresh = list({p for parts in cut.values() for p in parts if p not in self.parts})
+        single, cut, parts, words = {}, {}, self.parts, self.words
+        for w in new:
+            if w.isascii() and w.isalpha():
+                single[w] = w.lower()
+            elif self._plain(w):
+                cut[w] = self.cut.findall(w.lower())
+            else:
+                words[w] = self._whole(w)
+        fresh = list({p for p in chain(single.values(), *cut.values()) if p not in parts})
         for at in range(0, len(fresh), 1000):
             group = fresh[at : at + 1000]
-            ids = np.asarray(self.tok.encode(" ".join(group), add_special_tokens=False).ids, np.int64)
+            # Ids alone: the library needn't keep track of offsets.
+            ids = np.asarray(self.tok.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, np.int64)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(group) and stops[-1] == len(ids):
-                got = (self._bytes(x) for x in np.split(ids, stops[:-1]))
+                data, edges = self._bytes(ids), (stops * self.dtype.itemsize).tolist()
+                got = [data[a:z] for a, z in zip([0, *edges[:-1]], edges, strict=True)]
             else:
                 got = map(self._whole, group)
-            self.parts.update(zip(group, got, strict=True))
-        for w in new:
-            self.words[w] = b"".join(map(self.parts.__getitem__, cut[w])) if w in cut else self._whole(w)
+            parts.update(zip(group, got, strict=True))
+        for w, p in single.items():
+            words[w] = parts[p]
+        for w, p in cut.items():
+            words[w] = b"".join([parts[x] for x in p])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text)."""
-        words = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[ \t\r\n]+")
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         if len(self.words) > REMEMBERED:
             self.words.clear()
         if len(self.parts) > REMEMBERED:

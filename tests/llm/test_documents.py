@@ -71,6 +71,19 @@ def test_token_files(docs):
     assert got == want
 
 
+def test_encoder_cuts_at_any_white_space():
+    import public_tokenizers
+    import pyarrow as pa
+
+    texts = ["a\x0bb\x0cc  d", "it's don'\x0bt I'LL\x0c", "\x0b", "\x1c\x1d x\x85y z", "é\x0cé İx ſ K", "<|startoftext|> a<|endoftext|>\x0bq", "<|start\x0boftext|>", None, "", "e\x0b\u0301 A1b2 _x_ 日本\x0c語"]
+    enc = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    want = [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # new words, then remembered ones
+        ids, n = enc.encode(pa.array(texts))
+        assert ids.tolist() == sum(want, [])
+        assert n.tolist() == [len(w) for w in want]
+
+
 def test_pieces_equal_the_library(docs):
     import sentencepiece
 
