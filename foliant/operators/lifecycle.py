@@ -25,8 +25,9 @@ def redrive_due(tasks: DataFrame, as_of: Column, cooldown: int) -> DataFrame:
     has_callback, callback_status or null, next_retry_at, last_attempt_at, updated_at)."""
     state = F.lower(F.trim("callback_status"))
     state = F.when(state == "", "pending").otherwise(state)
-    waited = F.unix_timestamp(as_of) - F.unix_timestamp(F.coalesce("last_attempt_at", "updated_at"))
-    cool = F.lit(True) if cooldown <= 0 else F.coalesce(waited >= cooldown, F.lit(True))
+    since = F.coalesce("last_attempt_at", "updated_at")
+    # By the moments as they are: seconds cut off would end the wait too early.
+    cool = F.lit(True) if cooldown <= 0 else F.coalesce(since <= as_of - F.make_dt_interval(secs=F.lit(cooldown)), F.lit(True))
     later = F.coalesce(F.col("next_retry_at") > as_of, F.lit(False))
     ready = F.col("callback_status").isNull() | (~state.isin("pending", "delivering") & ~later & cool)
     return tasks.filter(F.col("has_callback") & F.col("status").isin(*TERMINAL) & ready)
