@@ -124,9 +124,10 @@ def chars_inside(chars: DataFrame, boxes: DataFrame, tolerance: float = 0.5) ->
     return chars.join(b, (F.col("page") == F.col("_p")) & held).select(*chars.columns, "in_box")
 
 
-def lined_text(chars: DataFrame, lines: DataFrame, least: float = 0.7) -> DataFrame:
+def lined_text(chars: DataFrame, lines: DataFrame, least: float = 0.7, named: Column | None = None) -> DataFrame:
     """(line_id, text): each character in the line of its page that holds most of it,
-    if their heights are alike (``least``); of equal lines the first."""
+    if their heights are alike (``least``); of equal lines the first. Lines that are
+    numbered page by page are told apart by ``named`` (of char_id and line_id)."""
     c = chars.select(F.col("page").alias("_p"), *(F.col(x).alias(f"c_{x}") for x in ("x0", "x1", "top", "bottom")), F.col("box_id").alias("char_id"), F.col("text").alias("char"))
     both = c.join(lines.select("page", "line_id", "x0", "x1", "top", "bottom"), F.col("_p") == F.col("page"))
     w = F.least("c_x1", "x1") - F.greatest("c_x0", "x0")
@@ -134,7 +135,8 @@ def lined_text(chars: DataFrame, lines: DataFrame, least: float = 0.7) -> DataFr
     own = both.withColumn("_a", F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))).filter("_a > 0")
     a, b = F.col("c_bottom") - F.col("c_top"), F.col("bottom") - F.col("top")
     best = own.groupBy("char_id").agg(F.max_by(F.struct("line_id", "c_x0", "char", (F.least(a, b) / F.greatest(a, b)).alias("alike")), F.struct("_a", -F.col("line_id"))).alias("m")).filter(F.col("m.alike") >= least)
-    return best.groupBy(F.col("m.line_id").alias("line_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m.c_x0", "char_id", "m.char"))), lambda x: x["char"]), "").alias("text"))
+    held = best.select("char_id", "m.line_id", "m.c_x0", "m.char").withColumn("line_id", F.col("line_id") if named is None else named)
+    return held.groupBy("line_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_x0", "char_id", "char"))), lambda x: x["char"]), "").alias("text"))
 
 
 def table_tags(boxes: DataFrame, parts: DataFrame, least: float = 0.3) -> DataFrame:

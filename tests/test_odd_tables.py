@@ -32,3 +32,16 @@ def test_redrive_by_parts_of_a_second(spark, tmp_path):
     events = pd.DataFrame({"event_id": ids, "ts": pd.Series(moments, dtype="datetime64[us]"), "user_id": 1, "event_type": "purchase", "value": 1.0, "props": "{}"})
     mine, theirs = both(spark, tmp_path, "fl08_callback_redrive", {"events": events})
     assert mine == theirs and mine
+
+
+def lineitem(rows):
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"]
+    return pd.DataFrame(rows, columns=cols).astype({"l_linenumber": "int32", "l_quantity": "float64"})
+
+
+def test_lined_text_of_wide_part_keys(spark, tmp_path):
+    # The id of the box of page 4 says page 5, whose lines are taller than the box.
+    orders = pd.DataFrame({"o_orderkey": [4, 5, 9_000_000]})
+    rows = lineitem([(4, 900_001, 1, 1, 8, "A", "F"), (4, 2, 1, 1, 9, "N", "O"), (5, 1_200_000, 7, 2, 10, "R", "F"), (5, 899_999, 999, 1, 10, "A", "O"), (9_000_000, 299_999, 999, 7, 12, "N", "F"), (4, 900_000, 2, 1, 8, "R", "O")])
+    mine, theirs = both(spark, tmp_path, "jn15_lined_text", {"lineitem": rows, "orders": orders})
+    assert mine == theirs and mine
