@@ -5,13 +5,16 @@ are on the page, so no step compares boxes of different pages."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cmp_to_key
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def area(p: str = "") -> Column:
@@ -109,26 +112,97 @@ def page_route(features: DataFrame) -> DataFrame:
 
 
 def iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Shares of the union for one box and many (x0, top, x1, bottom)."""
-    w = np.minimum(a[2], b[:, 2]) - np.maximum(a[0], b[:, 0])
-    h = np.minimum(a[3], b[:, 3]) - np.maximum(a[1], b[:, 1])
+    """Shares of the union for (x0, top, x1, bottom) of boxes, one and many or pair by pair."""
+    w = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    h = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
     both = np.clip(w, 0, None) * np.clip(h, 0, None)
     size = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
     return both / np.maximum(size(a) + size(b) - both, 1e-9)
 
 
-def suppressed(boxes: DataFrame, most: float = 0.45, keys: tuple[str, ...] = ("page", "kind")) -> DataFrame:
-    """Non-maximum suppression: by falling score, without those that overlap a kept one."""
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, starts of their groups) from rows sorted by ``keys``, many whole groups at
+    a time. Nulls are equal, and so are numbers that are none."""
+    held: list[pa.RecordBatch] = []
+    for last, batch in _last_told(batches):
+        before = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+        if batch.num_rows or not held:
+            held.append(batch)
+        if not last and len(_starts(pa.Table.from_batches([*before, batch]), keys)) < 2:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        starts = _starts(rows, keys)
+        if not last:
+            held = rows.slice(int(starts[-1])).to_batches()
+            rows, starts = rows.slice(0, int(starts[-1])), starts[:-1]
+        if len(starts):
+            yield rows, starts
+
+
+def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where the groups of rows with equal ``keys`` start."""
+    new = np.arange(rows.num_rows) == 0
+    for k in keys:
+        c = rows.column(k).combine_chunks()
+        a, b = c[:-1], c[1:]
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        if pa.types.is_floating(c.type):
+            other = pc.and_not(other, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+        new[1:] |= other.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _by_groups(boxes: DataFrame, keys: list[str], one: Callable[[pa.Table, np.ndarray], pa.Table], out: StructType) -> DataFrame:
+    """``one`` over the groups of ``boxes`` as ``_whole`` gives them: dealt by a hash and
+    streamed in order, many to a task; a group is held as a whole."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _whole(batches, keys):
+            yield from one(rows, starts).to_batches(max_chunksize=100_000)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True])
-        xy, kept, live = pdf[["x0", "top", "x1", "bottom"]].to_numpy(float), [], np.arange(len(pdf))
-        while len(live):
-            kept.append(live[0])
-            live = live[1:][iou(xy[live[0]], xy[live[1:]]) <= most]
-        return pdf.iloc[kept]
+    # A stated number, as small inputs would otherwise be put into one task.
+    n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return boxes.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(each, out)
+
+
+def _column(rows: pa.Table, name: str) -> np.ndarray:
+    """A column as numbers, nulls as NaN."""
+    return rows.column(name).to_numpy()
 
-    return boxes.groupBy(*keys).applyInPandas(one, boxes.schema)
+
+def _ordered(rows: pa.Table, group: np.ndarray, keys: list[pa.ChunkedArray]) -> np.ndarray:
+    """The order of ``rows`` by group and ``keys``, nulls last; equal ones by their edges."""
+    edges = [rows.column(c) for c in ("x0", "top", "x1", "bottom") if c in rows.column_names]
+
+    def plain(c: pa.ChunkedArray) -> np.ndarray:
+        if pa.types.is_floating(c.type) or (pa.types.is_integer(c.type) and not c.null_count):
+            return c.to_numpy()
+        return pc.rank(c.combine_chunks(), "ascending", null_placement="at_end", tiebreaker="dense").to_numpy()
+
+    return np.lexsort([plain(c) for c in reversed([*keys, *edges])] + [group])
+
+
+def suppressed(boxes: DataFrame, most: float = 0.45, keys: tuple[str, ...] = ("page", "kind")) -> DataFrame:
+    """Non-maximum suppression: by falling score, without those that overlap a kept one.
+    Each round takes the first live box of every group and drops what overlaps it."""
+
+    def kept(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
+        order = _ordered(rows, group, [pc.negate(rows.column("score").cast(pa.float64())), rows.column("box_id")])
+        xy = np.stack([_column(rows, c).astype(float) for c in ("x0", "top", "x1", "bottom")], 1)[order]
+        group = group[order]
+        live, out = np.arange(len(order)), []
+        while len(live):
+            first = np.flatnonzero(np.diff(group[live], prepend=-1))
+            out.append(live[first])
+            rest = np.ones(len(live), bool)
+            rest[first] = False
+            lead = np.repeat(live[first], np.diff(np.append(first, len(live))))[rest]
+            live = live[rest]
+            live = live[iou(xy[lead], xy[live]) <= most]
+        return rows.take(order[np.sort(np.concatenate(out))])
+
+    return _by_groups(boxes, list(keys), kept, boxes.schema)
 
 
 def by_rows(boxes: DataFrame, threshold: float) -> DataFrame:

@@ -148,7 +148,7 @@ def tb01(spark, d):
 @query("se04_suppression")
 def se04(spark, d):
     rows = boxes(spark, d).withColumn("kind", F.substring("text", 1, 1)).withColumn("score", F.col("part") / 1000.0)
-    return g.suppressed(rows).select("page", "kind", "box_id")
+    return g.suppressed(rows.select("page", "kind", "box_id", "score", "x0", "top", "x1", "bottom")).select("page", "kind", "box_id")
 
 
 @query("so08_threshold_order")

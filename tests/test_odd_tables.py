@@ -1,11 +1,16 @@
-"""Queries on small tables of odd values give the rows of their SQL."""
+"""Queries on small tables of odd values give the rows of their SQL, those without one
+the rows of brute force."""
 
 import datetime
+import time
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from foliant import catalog
+from foliant.operators import geometry
 
 
 def both(spark, folder, name, tables):
@@ -45,3 +50,43 @@ def test_lined_text_of_wide_part_keys(spark, tmp_path):
     rows = lineitem([(4, 900_001, 1, 1, 8, "A", "F"), (4, 2, 1, 1, 9, "N", "O"), (5, 1_200_000, 7, 2, 10, "R", "F"), (5, 899_999, 999, 1, 10, "A", "O"), (9_000_000, 299_999, 999, 7, 12, "N", "F"), (4, 900_000, 2, 1, 8, "R", "O")])
     mine, theirs = both(spark, tmp_path, "jn15_lined_text", {"lineitem": rows, "orders": orders})
     assert mine == theirs and mine
+
+
+def seconds_of(work):
+    began = time.time()
+    out = work()
+    return out, time.time() - began
+
+
+def many_pages(spark, folder):
+    """6,000 pages of one to seven boxes, a page of 3,000 and one without a number."""
+    rng = np.random.default_rng(5)
+    page = np.concatenate([np.repeat(np.arange(6_000), rng.integers(1, 8, 6_000)), np.full(3_000, 10**6), np.full(40, -1)])
+    xy = rng.integers(0, 30, (len(page), 2)) * 5.0
+    rows = pd.DataFrame({"page": pd.array(page, "Int64"), "kind": rng.choice(["A", "B", None], len(page)), "box_id": rng.permutation(len(page)), "score": rng.integers(0, 9, len(page)) / 8, "x0": xy[:, 0], "x1": xy[:, 0] + 30, "top": xy[:, 1], "bottom": xy[:, 1] + 12})
+    rows.loc[rows["page"] == -1, "page"] = pd.NA
+    duckdb.connect().execute(f"COPY (SELECT * REPLACE (page::BIGINT AS page) FROM rows) TO '{folder}/boxes.parquet' (FORMAT parquet)")
+    return rows, spark.read.parquet(f"{folder}/boxes.parquet")
+
+
+def test_suppression_of_many_small_groups(spark, tmp_path):
+    rows, boxes = many_pages(spark, tmp_path)
+    out, took = seconds_of(lambda: geometry.suppressed(boxes).toPandas())
+    want = []
+    for _, g in rows.sort_values(["score", "box_id"], ascending=[False, True]).groupby(["page", "kind"], dropna=False, sort=False):
+        xy, live = g[["x0", "top", "x1", "bottom"]].to_numpy(float), np.arange(len(g))
+        while len(live):
+            want.append(g["box_id"].iat[live[0]])
+            live = live[1:][geometry.iou(xy[live[0]], xy[live[1:]]) <= 0.45]
+    assert sorted(out["box_id"]) == sorted(want) and len(want) < len(rows)
+    assert took < 40  # a Python call a group took minutes
+
+
+def test_groups_over_many_batches():
+    keys = [0, 0, 0, 1, 1, 2, 2, None, None, float("nan"), float("nan"), 5]
+    for size in (1, 2, 3, 5, 12):
+        rows = pa.table({"k": pa.array(keys, pa.float64()), "i": range(12)})
+        got = [(t.column("i").to_pylist(), s.tolist()) for t, s in geometry._whole(iter([*rows.to_batches(max_chunksize=size), rows.to_batches()[0].slice(0, 0)]), ["k"])]
+        assert [i for t, _ in got for i in t] == list(range(12))
+        assert [t[a] for t, s in got for a in s] == [0, 3, 5, 7, 9, 11]
+        assert size > 3 or max(len(t) for t, _ in got) < 7
