@@ -210,16 +210,22 @@ def by_rows(boxes: DataFrame, threshold: float) -> DataFrame:
     less than ``threshold``. That comparison isn't transitive, so the rows of a
     page are sorted by it as it is, from the order of ids."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("box_id").reset_index(drop=True)
-        t, x = rows["top"].tolist(), rows["x0"].tolist()
-        sign = lambda v: (v > 0) - (v < 0)
-        order = sorted(range(len(rows)), key=cmp_to_key(lambda i, j: sign(x[i] - x[j]) if abs(t[i] - t[j]) < threshold else sign(t[i] - t[j])))
-        out = rows.iloc[order].copy()
-        out["place"] = np.arange(1, len(out) + 1, dtype=np.int32)
-        return out
-
-    return boxes.groupBy("page").applyInPandas(one, boxes.select("*", F.lit(1).alias("place")).schema)
+    def placed(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        ends = np.append(starts[1:], rows.num_rows)
+        first = _ordered(rows, np.repeat(np.arange(len(starts)), ends - starts), [rows.column("box_id")])
+        t, x = (_column(rows, c)[first].tolist() for c in ("top", "x0"))
+
+        def compared(i: int, j: int) -> int:
+            a, b = (x[i], x[j]) if abs(t[i] - t[j]) < threshold else (t[i], t[j])
+            return (a > b) - (a < b)
+
+        key, order = cmp_to_key(compared), []
+        for a, z in zip(starts.tolist(), ends.tolist(), strict=True):
+            order += sorted(range(a, z), key=key) if z - a > 1 else (a,)
+        place = np.arange(1, rows.num_rows + 1) - np.repeat(starts, ends - starts)
+        return rows.take(first[np.array(order, np.int64)]).append_column("place", pa.array(place, pa.int32()))
+
+    return _by_groups(boxes, ["page"], placed, boxes.select("*", F.lit(1).alias("place")).schema)
 
 
 def _best_cuts(x: np.ndarray, w: np.ndarray, most: int) -> list[np.ndarray]:

@@ -153,7 +153,7 @@ def se04(spark, d):
 
 @query("so08_threshold_order")
 def so08(spark, d):
-    return g.by_rows(boxes(spark, d), 16.0).select("page", "box_id", "place")
+    return g.by_rows(boxes(spark, d).select("page", "box_id", "top", "x0"), 16.0).select("page", "box_id", "place")
 
 
 @query("so11_page_columns")

@@ -3,6 +3,7 @@ the rows of brute force."""
 
 import datetime
 import time
+from functools import cmp_to_key
 
 import duckdb
 import numpy as np
@@ -82,6 +83,18 @@ def test_suppression_of_many_small_groups(spark, tmp_path):
     assert took < 40  # a Python call a group took minutes
 
 
+def test_threshold_order_of_many_pages(spark, tmp_path):
+    rows, boxes = many_pages(spark, tmp_path)
+    out, took = seconds_of(lambda: geometry.by_rows(boxes, 16.0).toPandas())
+    want = {}
+    for _, g in rows.sort_values("box_id").groupby("page", dropna=False, sort=False):
+        r = list(zip(g["top"].tolist(), g["x0"].tolist(), g["box_id"].tolist(), strict=True))
+        r.sort(key=cmp_to_key(lambda a, b: a[1] - b[1] if abs(a[0] - b[0]) < 16.0 else a[0] - b[0]))
+        want.update({x[2]: i for i, x in enumerate(r, 1)})
+    assert dict(zip(out["box_id"], out["place"], strict=True)) == want
+    assert took < 40
+
+
 def test_groups_over_many_batches():
     keys = [0, 0, 0, 1, 1, 2, 2, None, None, float("nan"), float("nan"), 5]
     for size in (1, 2, 3, 5, 12):
