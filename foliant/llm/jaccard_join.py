@@ -43,6 +43,8 @@ from foliant.llm.token_files import slices
 
 U = np.uint64
 CHUNK = 2000
+#: Groups of a row, least first, by which a pair is told to have met before.
+MET = 32
 #: Text that is hashed at a time, in bytes.
 SLICE = 3 << 20
 
@@ -237,18 +239,24 @@ def _led(t: pa.Table, percent: int) -> pa.Table:
 def _apart(t: pa.Table, percent: int) -> pa.Table:
     """Pairs that the bounds allow between different components of a group: some of
     its rows outside the main component (``side``) by some of all its rows. Two that
-    are both outside meet twice and count where the greater one isn't ``side``."""
+    are both outside meet twice and count where the greater one isn't ``side``. Near
+    rows share many groups and are compared in each of them, so a pair that has met in
+    a lesser one (of ``gids``) isn't given again: the least that both are in gives it."""
     (x, xn, xm), (y, yn, ym) = (_sketches(t.filter(pa.array(t.column("side").to_numpy(zero_copy_only=False) == s))) for s in (True, False))
     own = dict(zip(t.column("doc").to_pylist(), t.column("component").to_pylist(), strict=True))
     outside = dict(zip(t.column("doc").to_pylist(), t.column("minor").to_pylist(), strict=True))
     xc, yc = (np.array([own[i] for i in d.tolist()], np.int64) for d in (x, y))
     minor = np.array([outside[i] for i in y.tolist()], bool)
+    gid = t.column("gid")[0].as_py() if len(x) else 0
+    lesser = {d: {g for g in gs if g < gid} for d, gs in zip(t.column("doc").to_pylist(), t.column("gids").to_pylist(), strict=True)}
     a, b = [], []
     for i in range(len(x)):
         other = np.flatnonzero((yc != xc[i]) & (~minor | (y > x[i])))
         near = other[may_link(np.bitwise_count(ym[other] ^ xm[i]).sum(1, dtype=np.int64), yn[other], xn[i], percent)]
-        a.append(np.full(len(near), x[i]))
-        b.append(y[near])
+        mine = lesser[int(x[i])]
+        new = np.array([j for j in y[near].tolist() if mine.isdisjoint(lesser[j])], np.int64)
+        a.append(np.full(len(new), x[i]))
+        b.append(new)
     return _pairs(a, b)
 
 
@@ -332,11 +340,14 @@ def clustered(docs: DataFrame, n: int = 3, percent: int = 90, buckets: int | Non
     # What is outside a group's main component, by all of the group, chunk by chunk.
     counts = label.groupBy("gid", "component").agg(F.count("*").alias("k"))
     main = counts.groupBy("gid").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    label = written(label.join(main, "gid").withColumn("minor", F.col("component") != F.col("main")).drop("main", "kinds"), "apart")
+    main = written(main, "mains")
+    gids = F.slice(F.array_sort(F.collect_list("gid")), 1, MET).alias("gids")
+    met = members.select("gid", "doc").join(main, "gid", "left_semi").groupBy("doc").agg(gids)
+    label = written(label.join(met, "doc").join(main, "gid").withColumn("minor", F.col("component") != F.col("main")).drop("main", "kinds"), "apart")
     chunks = label.select("gid", F.col("chunk").alias("by")).distinct()
     sides = label.filter("minor").select("gid", F.col("chunk").alias("from")).distinct()
-    left = label.filter("minor").join(chunks, "gid").select("gid", F.col("chunk").alias("from"), "by", "doc", "n", "sketch", "component", "minor", F.lit(True).alias("side"))
-    right = label.join(sides, "gid").select("gid", "from", F.col("chunk").alias("by"), "doc", "n", "sketch", "component", "minor", F.lit(False).alias("side"))
+    left = label.filter("minor").join(chunks, "gid").select("gid", F.col("chunk").alias("from"), "by", "doc", "n", "sketch", "component", "minor", "gids", F.lit(True).alias("side"))
+    right = label.join(sides, "gid").select("gid", "from", F.col("chunk").alias("by"), "doc", "n", "sketch", "component", "minor", "gids", F.lit(False).alias("side"))
     apart = left.unionByName(right).groupBy("gid", "from", "by").applyInArrow(trimmed(lambda t: _apart(t, percent)), PAIR)
     second = linked(apart, docs, n, percent, reps)
     carried = written(named.select("doc_id", "digest").join(reps, "digest").select("doc_id", "class", "rep").distinct(), "carried")

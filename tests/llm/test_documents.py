@@ -280,3 +280,32 @@ def test_rollup_commits_once(spark, odd_docs, no_docs):
 
 def test_written_survives_clashing_names(odd_docs):
     assert written(odd_docs, "t").count() == odd_docs.count()
+
+
+def test_jaccard_pairs_of_near_copies_meet_once(spark, monkeypatch):
+    """Copies that share many blocks but mostly don't link: a pair is given by one of
+    their groups, and no link is lost."""
+    rng = np.random.default_rng(3)
+    base, rows = [f"w{x}" for x in range(150)], []
+    for i in range(90):
+        words = list(base)
+        for k in rng.integers(0, 150, 2).tolist():
+            words[k] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    given, whole = [], jaccard_join.linked
+
+    def counted(pairs, *rest):
+        given.append(pairs.groupBy("a", "b").count().agg(F.sum("count").alias("n"), F.count("*").alias("different")).first())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "linked", counted)
+    got = rows_of(jaccard_join.clustered(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80))
+    sets, own = [shingles(t, 5) for _, t in rows], list(range(90))
+    for i in range(90):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((own[i], own[j]))
+                own = [low if o == high else o for o in own]
+    assert sorted(got) == [(i, len(sets[i]), own[i]) for i in range(90)]
+    assert given[1].different > 40 and given[1].n <= 1.2 * given[1].different
