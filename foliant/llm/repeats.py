@@ -14,7 +14,9 @@ on the input. Texts are dealt by content, so that no index is larger than a task
    statistics in text order: at a sampled position the match with the suffix
    before it in order is measured, at the next one it is one shorter until the
    next sample. Matches of 100 bytes or more tie suffixes to classes; all but the
-   first of a class are marked.
+   first of a class are marked. An index holds ``INDEX_BYTES`` and whole anchors, as
+   equal windows have equal anchors; an anchor of more is parted by the anchor's
+   place in its windows and by the bytes around it that all windows of a part hold.
 4. Marks return to the documents, are joined to runs of bytes and cut out.
 
 A very common passage is one phrase per task; no step makes pairs of documents.
@@ -51,6 +53,8 @@ CHUNK = 1 << 16
 #: Text for each part of the documents and for each bucket of phrases.
 PART_BYTES = 6 << 20
 BUCKET_BYTES = 3 << 20
+#: Text that one index holds.
+INDEX_BYTES = 1 << 20
 PLACE = np.uint64((1 << 20) - 1)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 NULL_ID = -(1 << 63)
@@ -331,30 +335,71 @@ class RunIndex:
         return out
 
 
+def _chunks(key: np.ndarray, size: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Positions of phrases, those of one key together, ``most`` bytes at once and
+    more for a single key only."""
+    order = np.argsort(key, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+    upto = np.concatenate([[0], np.cumsum(size[order])])[at]
+    a = 0
+    while a < len(at) - 1:
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] + most, "right")) - 1)
+        yield order[at[a] : at[z]]
+        a = z
+
+
+def _halves(meta: np.ndarray, text: list[bytes], low: int, high: int) -> Iterator[tuple]:
+    """(phrases, texts, keys, low, high): windows whose anchor is ``low`` to ``high``
+    bytes from their start, in two halves of that range, both longer by what all their
+    windows hold beside the anchor: equal windows have equal keys."""
+    mid = (low + high) // 2
+    o, n = meta["o"].astype(np.int64), meta["n"].astype(np.int64)
+    fore = np.clip(o - mid + 1, 0, n)
+    for a, z, lo, hi in ((0 * n, fore, mid, high), (fore, n, low, mid)):
+        real = np.flatnonzero(z > a)
+        part = meta[real]
+        part["a"] += a[real].astype(np.int32)
+        part["o"] -= a[real].astype(np.uint16)
+        part["n"] = (z - a)[real]
+        own = [text[i][x : y + WINDOW - 1] for i, x, y in zip(real.tolist(), a[real].tolist(), z[real].tolist(), strict=True)]
+        key = np.array([xxhash.xxh64_intdigest(x[p - lo : p - hi + 1 + WINDOW]) for x, p in zip(own, part["o"].tolist(), strict=True)], U)
+        yield part, own, key, lo, hi
+
+
+def _index_marks(meta: np.ndarray, text: list[bytes]) -> np.ndarray:
+    """Marks within distinct phrases."""
+    order = np.lexsort((meta["a"].astype(np.int64) + meta["o"], meta["dig"], meta["doc"]))
+    index = RunIndex([text[i] for i in order])
+    hit = index.repeated(WINDOW)
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    own = index.phrase[s]
+    m = meta[order[own]]
+    out = np.empty(len(s), MARK)
+    out["doc"], out["dig"] = m["doc"], m["dig"]
+    out["s"] = m["a"] + s - index.start[own]
+    out["e"] = m["a"] + e - index.start[own] + WINDOW - 1
+    return out
+
+
 def _indexed(t: pa.Table, parts: int) -> pa.Table:
     """Marks of one bucket, by part of the documents."""
     marks = [_unpack(t, "marks", MARK)]
     meta = _unpack(t, "meta", META)
     data = b"".join(x for x in t.column("bytes").to_pylist() if x)
-    if len(meta):
-        to = np.cumsum(meta["n"].astype(np.int64) + WINDOW - 1)
-        text = [data[a:z] for a, z in zip([0, *to[:-1].tolist()], to.tolist(), strict=True)]
-        key = np.array([xxhash.xxh64_intdigest(x) for x in text], U)
-        first, again = _first_of_each(key, meta)
-        marks.append(_marks(meta[again]))
-        place = meta["a"][first].astype(np.int64) + meta["o"][first]
-        first = first[np.lexsort((place, meta["dig"][first], meta["doc"][first]))]
-        index = RunIndex([text[i] for i in first])
-        hit = index.repeated(WINDOW)
-        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-        s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        own = index.phrase[s]
-        m = meta[first[own]]
-        out = np.empty(len(s), MARK)
-        out["doc"], out["dig"] = m["doc"], m["dig"]
-        out["s"] = m["a"] + s - index.start[own]
-        out["e"] = m["a"] + e - index.start[own] + WINDOW - 1
-        marks.append(out)
+    to = np.cumsum(meta["n"].astype(np.int64) + WINDOW - 1).tolist()
+    todo = [(meta, [data[a:z] for a, z in zip([0, *to][:-1], to, strict=True)], meta["h"], 0, SPAN)]
+    while todo:
+        meta, text, key, low, high = todo.pop()
+        for some in _chunks(key, meta["n"].astype(np.int64) + WINDOW - 1, INDEX_BYTES):
+            m, own = meta[some], [text[i] for i in some.tolist()]
+            first, again = _first_of_each(np.array([xxhash.xxh64_intdigest(x) for x in own], U), m)
+            marks.append(_marks(m[again]))
+            m, own = m[first], [own[i] for i in first.tolist()]
+            if high - low > 1 and sum(map(len, own)) > INDEX_BYTES:
+                todo += _halves(m, own, low, high)
+            else:
+                marks.append(_index_marks(m, own))
     all_ = np.concatenate(marks)
     to, (rows,) = _by((_mixed(all_["doc"]) % U(parts)).astype(np.int64), all_)
     return pa.table({"part": pa.array(to, pa.int32()), "marks": pa.array(rows, pa.binary())})

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,40 @@ def test_long_repeats(docs):
     assert repeats.cut(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("most", [150, 1000, 20_000])
+def test_no_index_of_repeats_is_larger_than_its_bound(monkeypatch, most):
+    """Many different phrases share an anchor: before a passage, after it, and within."""
+    rng = np.random.default_rng(3)
+    word = lambda n, top=122: bytes(rng.integers(97, top, n, dtype=np.uint8))
+    common = [word(n) for n in (60, 105, 180)]
+    texts = [word(int(rng.integers(0, 90)), 99) + common[i % 3] + word(int(rng.integers(0, 90)), 99) for i in range(150)]
+    texts += [t[int(rng.integers(0, 40)) :] for t in texts[::5]] + [word(150)] * 3 + [b"", b"a" * 300, b"ab" * 150]
+    buf, ends = repeats._joined(texts)
+    a, _, _, h = repeats.phrases(buf, ends)
+    hits = np.empty(len(h), repeats.HIT)
+    hits["doc"], hits["h"] = np.searchsorted(ends, a, "right"), h
+    z = repeats.zstandard.ZstdCompressor()
+    docs = pa.table({"doc": pa.array(range(len(texts)), pa.int64()), "dig": pa.array(range(len(texts)), pa.int64()), "packed": [z.compress(t) for t in texts]})
+    sizes, whole = [], repeats.RunIndex
+    monkeypatch.setattr(repeats, "RunIndex", lambda own: sizes.append(sum(map(len, own))) or whole(own))
+    monkeypatch.setattr(repeats, "INDEX_BYTES", most, raising=False)
+    sent = repeats._send(docs, pa.table({"hits": pa.array([hits.tobytes()])}), 1)
+    marks = repeats._unpack(repeats._indexed(sent, 1), "marks", repeats.MARK)
+    have = {doc: x.tolist() for (doc, _), x in repeats._spans(marks).items()}
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t) + 2, np.int8)
+        for j in range(len(t) - 99):
+            if t[j : j + 100] in seen:
+                gone[j + 1 : j + 101] = 1
+            seen.add(t[j : j + 100])
+        edge = np.diff(gone)
+        if gone.any():
+            want[i] = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).tolist()
+    assert have == want and len(want) > 60
+    assert max(sizes) <= most
+
+
 def test_run_index_matches_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(20):
