@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import filesystem, finished, scratch, trimmed, trimmed_stream
+from foliant.llm.common import filesystem, finished, scratch, trim, trimmed, trimmed_stream
 from foliant.llm.token_files import slices
 
 SPACE = "▁"
@@ -53,7 +53,9 @@ MOST_PIECES = 500_000
 #: Bit of an edge that marks a late piece; ids lie below it.
 LATE = 1 << 19
 #: Text of a block. Larger ones share more units and take more memory.
-BLOCK_BYTES = 9 << 20
+BLOCK_BYTES = 11 << 20
+#: Text whose words are parted at a time.
+WORDS_BYTES = 1 << 20
 #: Text for each bucket of units.
 BUCKET_BYTES = 2 << 20
 NULL_ID = -(1 << 63)
@@ -179,19 +181,28 @@ def units_of(text: str) -> list[str]:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(ids, texts) of about ``BLOCK_BYTES`` each, over the bounds of batches."""
+    """(ids, texts) of ``BLOCK_BYTES`` each at most, or a row, over the bounds of batches."""
     held, size = [], 0
     for b in batches:
         at = 0
-        for t in slices(b.column(1), BLOCK_BYTES):
+        for t in slices(b.column(1), WORDS_BYTES):
+            own = pc.sum(pc.binary_length(t)).as_py() or 0
+            if held and size + own > BLOCK_BYTES:
+                part, held, size = _part(held), [], 0
+                yield part
+                part = None
             held.append((b.column(0).slice(at, len(t)), t))
             at += len(t)
-            size += pc.sum(pc.binary_length(t)).as_py() or 0
-            if size >= 0.8 * BLOCK_BYTES:
-                yield tuple(pa.concat_arrays(x) for x in zip(*held, strict=True))
-                held, size = [], 0
+            size += own
+        b = t = None  # a batch goes as soon as its block is made
     if held:
-        yield tuple(pa.concat_arrays(x) for x in zip(*held, strict=True))
+        part, held = _part(held), []
+        yield part
+
+
+def _part(held: list[tuple[pa.Array, pa.Array]]) -> tuple[pa.Array, pa.Array]:
+    ids, texts = (pa.concat_arrays(x) for x in zip(*held, strict=True))
+    return ids, pc.fill_null(texts, "")
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
@@ -200,63 +211,99 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarra
     marked = pc.replace_substring(texts, " ", SPACE)
     plain = pc.invert(pc.or_(pc.or_(pc.match_substring(marked, SPACE * 2), pc.starts_with(marked, SPACE)), pc.equal(pc.binary_length(texts), 0)))
     odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
-    split = pc.split_pattern(marked.filter(plain), SPACE)
-    coded = split.flatten().dictionary_encode()
     own = [units_of(SPACE + x.as_py()) if len(x.as_py()) else [] for x in marked.take(pa.array(odd, pa.int64()))]
+    marked = marked.filter(plain)
+    split = pc.split_pattern(marked, SPACE)
+    n = np.concatenate([np.diff(split.offsets.to_numpy()), np.array([len(x) for x in own], np.int64)])
+    del marked
+    coded = split.flatten().dictionary_encode()
+    del split
     more = pa.array([w for x in own for w in x], pa.string()).dictionary_encode()
     names = pc.binary_join_element_wise(SPACE, coded.dictionary.cast(pa.string()), "")
     both = pa.concat_arrays([names, more.dictionary.cast(pa.string())]).dictionary_encode()
     to = both.indices.to_numpy(zero_copy_only=False)
     code = np.concatenate([to[coded.indices.to_numpy(zero_copy_only=False)], to[len(names) :][more.indices.to_numpy(zero_copy_only=False)]])
-    n = np.concatenate([np.diff(split.offsets.to_numpy()), np.array([len(x) for x in own], np.int64)])
     order = np.concatenate([np.flatnonzero(plain.to_numpy(zero_copy_only=False)), odd])
     return order, both.dictionary, code, n.astype(np.int64)
 
 
+def _coded(texts: pa.Array, cut: re.Pattern) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(order of the texts, units of each, numbers of their units, distinct units). A
+    block has fewer bytes than 32 bits count, and so fewer units."""
+    each, before = [], 0
+    for t in slices(texts, WORDS_BYTES):
+        order, words, code, n = _words(t)
+        each.append((order + before, words, code, n))
+        before += len(t)
+    several = pa.concat_arrays([words for _, words, _, _ in each]).dictionary_encode()
+    words, to = several.dictionary, np.split(several.indices.to_numpy(zero_copy_only=False), np.cumsum([len(x[1]) for x in each])[:-1])
+    order, n = (np.concatenate([x[i] for x in each]) for i in (0, 3))
+    code = np.concatenate([t[x[2]] for t, x in zip(to, each, strict=True)])
+    del each, several, to
+    whole = pc.utf8_is_alnum(pc.utf8_slice_codeunits(words, 1)).to_numpy(zero_copy_only=False)
+    size, start = np.ones(len(words), np.int32), np.zeros(len(words), np.int32)
+    flat: list[str] = []
+    cuts = np.zeros(len(words) - whole.sum(), np.int32)
+    for i, w in enumerate(words.filter(pa.array(~whole))):
+        own = [x for x in cut.split(w.as_py()) if x]
+        cuts[i] = len(own)
+        flat += own
+    size[~whole] = cuts
+    start[whole] = np.arange(whole.sum())
+    start[~whole] = whole.sum() + np.cumsum(cuts) - cuts
+    coded = pa.concat_arrays([words.filter(pa.array(whole)), pa.array(flat, pa.string())]).dictionary_encode()
+    del flat, words
+    k = size[code]
+    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(k, dtype=np.int32)])
+    lengths = np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
+    first = start[code]
+    first -= ends[:-1]
+    del code
+    at = np.repeat(first, k)
+    del first, k
+    at += np.arange(ends[-1], dtype=np.int32)
+    return order, lengths, coded.indices.to_numpy(zero_copy_only=False)[at], coded.dictionary
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], cut: re.Pattern, buckets: int, at: str) -> Iterator[pa.RecordBatch]:
     """(bucket, block, units): the units of a block that fall to a bucket, in order;
     each block has a row in bucket 0. Its documents, as sequences of numbers of its
     units, wait in a file below ``at`` that is named after the block, so that they
-    needn't be shuffled; a repeated task writes the same file again."""
+    needn't be shuffled; a repeated task writes the same file again. Nothing of a block
+    is held while the next is read."""
     fs, root = filesystem(at)
     fs.create_dir(root, recursive=True)
-    z = zstandard.ZstdCompressor(level=3)
-    for no, (ids, texts) in enumerate((i, pc.fill_null(t, "")) for i, t in _parts(batches)):
-        hashes = np.fromiter((xxhash.xxh64_intdigest(x.as_py().encode()) for x in texts), np.uint64, len(texts))
-        order, words, code, n = _words(texts)
-        ids, texts = pc.fill_null(ids.cast(pa.int64()), NULL_ID).to_numpy(zero_copy_only=False), None
-        whole = pc.utf8_is_alnum(pc.utf8_slice_codeunits(words, 1)).to_numpy(zero_copy_only=False)
-        cuts = [[x for x in cut.split(w) if x] for w in words.filter(pa.array(~whole)).to_pylist()]
-        size, start = np.ones(len(words), np.int64), np.zeros(len(words), np.int64)
-        size[~whole] = [len(x) for x in cuts]
-        start[whole] = np.arange(whole.sum())
-        start[~whole] = whole.sum() + np.cumsum(size[~whole]) - size[~whole]
-        coded = pa.concat_arrays([words.filter(pa.array(whole)), pa.array([x for c in cuts for x in c], pa.string())]).dictionary_encode()
-        flat, units = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-        k = size[code]
-        ends = np.concatenate([[0], np.cumsum(k)])
-        at_ = np.repeat(start[code] - ends[:-1], k)
-        at_ += np.arange(ends[-1])
-        codes = flat[at_]
-        del at_, code
-        lengths = np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
-        raw = units.cast(pa.binary()).to_pylist()
-        to = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % buckets
-        # Units are placed bucket by bucket, and numbered by falling counts, which pack well.
-        placed = pc.sort_indices(units).to_numpy().astype(np.int64)
-        placed = placed[np.argsort(to[placed], kind="stable")]
-        by_count = np.argsort(-np.bincount(codes, minlength=len(raw))[placed], kind="stable")
-        number = np.empty(len(raw), np.int64)
-        number[placed[by_count]] = np.arange(len(raw))
-        block = (TaskContext.get().partitionId() << 24) + no
-        head = [ids[order].astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), hashes[order].tobytes(), _planes(number.astype("<u4")[codes]), _planes(np.diff(by_count, prepend=0))]
-        with fs.open_output_stream(f"{root}/{block}") as f:
-            f.write(z.compress(np.array([*map(len, head)], "<i8").tobytes() + b"".join(head)))
-        first = np.flatnonzero(np.diff(to[placed], prepend=-1)).tolist()
-        rows = [(int(to[placed[x]]), block, _joined([raw[i] for i in placed[x:y]])) for x, y in zip(first, [*first, len(placed)][1:], strict=True)]
-        if not rows or rows[0][0]:
-            rows.insert(0, (0, block, _joined([])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "block", "units"])
+    for no, part in enumerate(_parts(batches)):
+        out = _block(*part, cut, buckets, (TaskContext.get().partitionId() << 24) + no, fs, root)
+        del part
+        trim()
+        yield out
+        del out
+
+
+def _block(ids: pa.Array, texts: pa.Array, cut: re.Pattern, buckets: int, block: int, fs, root: str) -> pa.RecordBatch:
+    """The rows of one block, whose file it writes."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x.as_py().encode()) for x in texts), np.uint64, len(texts))
+    order, lengths, codes, units = _coded(texts, cut)
+    ids = pc.fill_null(ids.cast(pa.int64()), NULL_ID).to_numpy(zero_copy_only=False)
+    raw = units.cast(pa.binary()).to_pylist()
+    to = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % buckets
+    # Units are placed bucket by bucket, and numbered by falling counts, which pack well.
+    placed = pc.sort_indices(units).to_numpy().astype(np.int64)
+    placed = placed[np.argsort(to[placed], kind="stable")]
+    by_count = np.argsort(-np.bincount(codes, minlength=len(raw))[placed], kind="stable")
+    number = np.empty(len(raw), "<u4")
+    number[placed[by_count]] = np.arange(len(raw))
+    head = [ids[order].astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), hashes[order].tobytes(), _planes(number[codes]), _planes(np.diff(by_count, prepend=0))]
+    del codes
+    with fs.open_output_stream(f"{root}/{block}") as f:
+        f.write(zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([*map(len, head)], "<i8").tobytes(), *head])))
+    del head
+    first = np.flatnonzero(np.diff(to[placed], prepend=-1)).tolist()
+    rows = [(int(to[placed[x]]), block, _joined([raw[i] for i in placed[x:y]])) for x, y in zip(first, [*first, len(placed)][1:], strict=True)]
+    if not rows or rows[0][0]:
+        rows.insert(0, (0, block, _joined([])))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "block", "units"])
 
 
 def _head(at: str, block: int) -> list[bytes]:

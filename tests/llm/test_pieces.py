@@ -1,7 +1,10 @@
 """The Viterbi fold against the library, on unigram models written out by hand."""
 
 import struct
+import tracemalloc
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -70,3 +73,43 @@ def test_long_units_have_their_models_rule(tmp_path):
     for n in (61, 150, 3000):
         unit = ("".join(WORDS) * 40)[:n]
         assert m.long_unit(pieces.SPACE + unit) == sp.encode(unit)
+
+
+def batches_of(texts, per):
+    for i in range(0, len(texts), per):
+        own = texts[i : i + per]
+        yield pa.RecordBatch.from_arrays([pa.array(range(i, i + len(own)), pa.int64()), pa.array(own, pa.string())], names=["doc_id", "text"])
+
+
+def test_blocks_have_a_bound_and_every_row(monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK_BYTES", 1 << 20)
+    texts = [None, "", *("word " * 800 for _ in range(1500)), "x" * (3 << 20), None, "end"]
+    parts = list(pieces._parts(batches_of(texts, 180)))
+    assert [x for ids, _ in parts for x in ids.to_pylist()] == list(range(len(texts)))
+    assert [x or "" for _, t in parts for x in t.to_pylist()] == [t or "" for t in texts]
+    for _, t in parts:
+        assert len(t) == 1 or sum(len(x or "") for x in t.to_pylist()) <= 1 << 20
+
+
+def test_nothing_of_a_block_is_held_while_the_next_is_read(monkeypatch, tmp_path):
+    monkeypatch.setattr(pieces, "BLOCK_BYTES", 1 << 20)
+    monkeypatch.setattr(pieces, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [" ".join(f"w{(i * 131 + j * j) % 9973}" for j in range(1000)) for i in range(900)]
+    held = []
+
+    def read():
+        own = batches_of(texts, 100)
+        while True:
+            held.append(pa.total_allocated_bytes() + tracemalloc.get_traced_memory()[0] - before)
+            if (b := next(own, None)) is None:
+                return
+            yield b
+            del b
+
+    tracemalloc.start()
+    try:
+        before = pa.total_allocated_bytes() + tracemalloc.get_traced_memory()[0]
+        assert sum(1 for _ in pieces._blocks(read(), pieces.cut_of({}), 4, str(tmp_path))) > 4
+    finally:
+        tracemalloc.stop()
+    assert max(held) < 2 << 20
