@@ -14,22 +14,37 @@ empty one in every stage.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import catalog, jaccard_join, language_id, mixture, pieces, repeats
-from foliant.llm.common import table, written
+from foliant.llm.common import give_back, table, written
 
 #: Share of all tokens that the mixture takes.
 SHARE = 0.95
 
 
+def from_small_heaps(stage):
+    """``stage`` after the executors gave back heap that was grown before it."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@from_small_heaps
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier tells; it rejects texts without a
     letter and those between two languages."""
     return language_id.known(docs, language_id.learned_from(docs))
 
 
+@from_small_heaps
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents tied by a Jaccard of 0.8 on five-word shingles the one of least id."""
     groups = jaccard_join.clustered(docs, n=5, percent=80)
@@ -37,11 +52,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(extra, docs.doc_id == extra["_extra"], "left_anti").select(*docs.columns)
 
 
+@from_small_heaps
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that start earlier elsewhere."""
     return repeats.cut(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@from_small_heaps
 def target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fill the budgets of their domain, language and source once."""
     quarters = F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4).cast("long").alias("quarters")
@@ -50,6 +67,7 @@ def target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return taken.select("row.*")
 
 
+@from_small_heaps
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and checksums of each document's piece ids, and whether they decode to its text."""
     import public_tokenizers

@@ -103,6 +103,14 @@ def trim() -> None:
         pass
 
 
+def give_back(spark: SparkSession) -> None:
+    """Has the executors collect their garbage, so that the heap an earlier step grew
+    goes back to the system: a JVM keeps it otherwise, beside the memory that Python
+    workers take in the next step. A task for each core, which reach all idle executors."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(n, numPartitions=n).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+
+
 def trimmed(f):
     """``f`` over a group's table, or two groups' tables, followed by ``trim``.
     Spark asks a function for one or two arguments."""

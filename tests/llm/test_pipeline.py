@@ -67,3 +67,19 @@ def test_columns_of_any_name_pass(spark, odd_docs, no_docs, empty):
             assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for c in CLASHING), name
         docs = after
     assert empty == (docs.count() == 0)
+
+
+def test_stages_begin_after_a_collection(spark, no_docs):
+    """What only an earlier stage used is gone when one has run: an old object without
+    a reference, which a collection of young ones leaves."""
+    util = spark.sparkContext._jvm.java.util
+    for name, stage in corpus_pipeline.STAGES:
+        weak, held = util.WeakHashMap(), util.ArrayList()
+        weak.put(f"of {name}", 1)
+        held.addAll(weak.keySet())
+        for _ in range(2):
+            spark.sparkContext._jvm.System.gc()
+        assert weak.size() == 1
+        held.removeAll(held)
+        stage(spark, no_docs, SF)
+        assert weak.size() == 0, name
